@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import parsing, terms
+from treeloom.llm import credentials, parsing, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,14 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.invalid_rates(_table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(_table(spark, sf_dir, "code"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_leaves(_table(spark, sf_dir, "code"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 _SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
