@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import credentials, docs, parsing, terms
+from treeloom.llm import credentials, docs, parsing, spans, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.documented_functions(_table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_table(spark, sf_dir, "documents"))[0]
+
+
+def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amounts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1:2].isdigit()}
 
 _SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
