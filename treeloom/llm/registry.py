@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import credentials, docs, parsing, spans, terms
+from treeloom.llm import credentials, docs, mixing, packing, parsing, spans, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,22 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.documented_functions(_table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "containers"))
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.usage(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "containers"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(_table(spark, sf_dir, "documents"))[0]
 
