@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import credentials, docs, mixing, packing, parsing, spans, terms
+from treeloom.llm import credentials, docs, mixing, origins, packing, parsing, spans, terms
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,18 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_leaves(_table(spark, sf_dir, "code"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins.foreign_files(_table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
+
+
+def p5_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins.file_origins(_table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
+
+
+def p5_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origins.hand_written_listing(_table(spark, sf_dir, "files"), _table(spark, sf_dir, "code"), _table(spark, sf_dir, "languages"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pairs(spark, sf_dir).select("id")
 

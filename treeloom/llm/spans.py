@@ -216,7 +216,7 @@ class SpanIndex:
         one = sets.where("any_fresh").groupBy("s1", "s2", "n").agg(F.min(F.struct("w1", "w2")).alias("w")).select("w.w1", "w.w2", "n")  # windows of the same records give the same pairs
         inside = written(members.join(one, ["w1", "w2"]).withColumn("parts", F.ceil(F.col("n") / PART_DOCS).cast("int")), "members")
         a = inside.select("w1", "w2", F.col("doc_id").alias("doc_id_a"), F.col("fresh").alias("f_a"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
-        b = inside.select("w1", "w2", F.col("doc_id").alias("doc_id_b"), F.col("fresh").alias("f_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("bigint").alias("part"))
+        b = inside.select("w1", "w2", F.col("doc_id").alias("doc_id_b"), F.col("fresh").alias("f_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part"))
         more = a.join(b, ["w1", "w2", "part"]).where("doc_id_a < doc_id_b and (f_a or f_b)").select("doc_id_a", "doc_id_b")
         found = keys.join(sets.select("w1", "w2"), ["w1", "w2"], "left_semi").select("doc_id", "start", F.lit(self.least).alias("length"))
         return pairs.select("doc_id_a", "doc_id_b").unionByName(more), spans.unionByName(found)
