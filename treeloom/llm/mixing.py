@@ -96,7 +96,8 @@ def _route_mixes(budget: int | None):
     def run(mix: pd.DataFrame) -> pd.DataFrame:
         name = mix["mix_name"].iloc[0]
         targets = {s: (float(w), int(r)) for s, w, r in zip(mix["source"], mix["target_share"], mix["max_repeats"])}
-        patterns = {p: int(n) for p, n in zip(mix["pattern"].iloc[0], mix["once"].iloc[0])}
+        held = mix.dropna(subset=["pattern"])
+        patterns = {p: int(n) for p, n in zip(held["pattern"], held["once"])}
         usable = {p: n for p, n in patterns.items() if any(targets.get(s, (0, 0))[0] > 0 for s in p.split("\u0001"))}
         total = budget if budget is not None else sum(usable.values())
         return pd.DataFrame([(name, p, s, lo, hi, once, total) for p, s, lo, hi, once in route(usable, targets, total)], columns=["mix_name", "pattern", "source", "lo", "hi", "once", "budget"])
@@ -124,8 +125,8 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, budget: int | None = N
     placed = sized.withColumn("inside", inside).join(ahead, ["pattern", "slot"]).select("doc_id", "pattern", "n_tokens", (F.col("before") + F.col("inside") + F.col("n_tokens") / 2).alias("mid"))
 
     targets = mix_targets.where("mix_name is not null and source is not null and target_share is not null").select("mix_name", name("source").alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).distinct()
-    sums = slots.groupBy("pattern").agg(F.sum("n").alias("once")).agg(F.collect_list("pattern").alias("pattern"), F.collect_list("once").alias("once"))  # one row: at most a number per set of sources
-    flows = written(targets.crossJoin(F.broadcast(sums)).groupBy("mix_name").applyInPandas(_route_mixes(budget), FLOWS), "flows")
+    sums = slots.groupBy("pattern").agg(F.sum("n").alias("once")).withColumn("source", F.explode(F.split("pattern", "\u0001")))  # a row per set of sources and source in it
+    flows = written(targets.join(sums, "source", "left").groupBy("mix_name").applyInPandas(_route_mixes(budget), FLOWS), "flows")
     uses = F.greatest(F.lit(0), F.ceil((F.col("hi") - F.col("mid")) / F.col("once"))) - F.greatest(F.lit(0), F.ceil((F.col("lo") - F.col("mid")) / F.col("once")))
     return placed.join(flows, "pattern").withColumn("times", uses.cast("int")).where("times > 0").select("mix_name", "source", "doc_id", "n_tokens", "times", "budget")
 
