@@ -51,7 +51,7 @@ def budget_blocks(messages: DataFrame, session: str, seq: str, tokens: str, init
 def sessions_by_gap(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
     """``events`` with ``session_no`` from 1 per user: a new session begins after more than the gap without an event."""
     w = Window.partitionBy(user).orderBy(time, "event_id")
-    new = F.coalesce((F.unix_micros(time) - F.unix_micros(F.lag(time).over(w)) > gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    new = F.coalesce((F.col(time) - F.lag(time).over(w) > F.make_dt_interval(secs=F.lit(gap_seconds))).cast("int"), F.lit(1))
     return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
 
 
