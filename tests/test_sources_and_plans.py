@@ -17,12 +17,12 @@ def test_file_tree(spark, tmp_path):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(content)
     got = file_tree(spark, str(tmp_path)).cache()
-    assert sorted(r.path for r in got.collect()) == [".gitignore", "a.py", "b.bin", "src/.gitignore", "src/keep.o", "src/sub/local.py", "src/y.o"]
+    assert sorted(r.path for r in got.collect()) == ["a.py", "b.bin", "src/keep.o", "src/sub/local.py", "src/y.o"]
     names = spark.createDataFrame([(".py", "python")], "extension string, language string")
     rows = {r.path: r for r in texts(got, names).collect()}
     assert rows["a.py"].language == "python" and rows["a.py"].text == "x = 1\n" and len(rows["a.py"].hash) == 64 and "b.bin" not in rows
     tree = {r.id: (r.parent, r.kind, r.depth, r.sibling_order) for r in structural_rows(got, "root").collect()}
-    assert tree["root"] == (None, "codebase", 0, 0) and tree["src/sub"] == ("root", "module", 1, 4) and tree["src/sub/local.py"] == ("src/sub", "file", 2, 0) and tree["a.py"] == ("root", "file", 1, 1)
+    assert tree["root"] == (None, "codebase", 0, 0) and tree["src/sub"] == ("root", "module", 1, 3) and tree["src/sub/local.py"] == ("src/sub", "file", 2, 0) and tree["a.py"] == ("root", "file", 1, 0)
 
 
 def test_markdown(spark):

@@ -15,10 +15,13 @@ def test_running_totals(spark, tmp_path):
     write(tmp_path / "in", "s1", [{"type": "session_start", "id": 1}, {"type": "token_usage", "input_tokens": 5, "output_tokens": 2}])
     write(tmp_path / "in", "s2", [{"type": "session_start", "id": 2}])
 
+    seen = {}
+
     def run():
-        q = logs.session_totals(logs.read_log(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("totals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        totals = logs.session_totals(logs.read_log(spark, str(tmp_path / "in")))
+        q = totals.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({r.session: (r.n_events, r.input_tokens, r.output_tokens) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
-        return {r.session: (r.n_events, r.input_tokens, r.output_tokens) for r in spark.table("totals").collect()}
+        return seen
 
     assert run() == {"s1": (2, 5, 2), "s2": (1, 0, 0)}
     write(tmp_path / "in", "s1", [{"type": "token_usage", "input_tokens": 10, "output_tokens": 1}])

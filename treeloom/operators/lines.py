@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def numbered_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line``: the lines of each text from 1; a line feed at the end begins no line, a carriage return before a line feed is dropped, an empty text has one empty line."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n$", ""), "\n", -1)
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(text), "\r\n", "\n"), r"\n\z", ""), "\n", -1)
     return texts.where(F.col(text).isNotNull()).select(key, F.posexplode(parts)).select(key, (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 

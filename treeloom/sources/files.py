@@ -12,11 +12,27 @@ from treeloom.functions.text import extension
 EXCLUDED = [".git", ".hg", ".svn"]
 
 
-def file_tree(spark: SparkSession, root: str, ignore_name: str = ".gitignore") -> DataFrame:
+def ignore_files(spark: SparkSession, root: str, name: str = ".gitignore") -> list[tuple[str, list[str]]]:
+    """Folder and lines of the ignore files below ``root``, those above first. Only names are listed; ignore files are few and small against what they rule."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base, found, listed = top.toUri().getPath().rstrip("/") + "/", [], fs.listFiles(top, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName() == name:
+            folder = path.getParent().toUri().getPath().removeprefix(base.rstrip("/")).strip("/")
+            stream = fs.open(path)
+            found.append((folder, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()))
+            stream.close()
+    return sorted(found, key=lambda r: (len(r[0]), r[0]))
+
+
+def file_tree(spark: SparkSession, root: str, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """``path, content, hash, is_binary`` of the files below ``root``, without excluded folders and what ignore files rule out.
 
-    path: relative to the root. Rules of nested ignore files hold below their folder and come after those above; an ignored folder hides all below it, even if a later rule takes
-    a file in it back. A file with a zero byte in its first 8192 is binary.
+    path: relative to the root. rules: folders with the lines of their ignore files, default those found. Rules of nested ignore files hold below their folder and come after those above;
+    an ignored folder hides all below it, even if a later rule takes a file in it back. A file with a zero byte in its first 8192 is binary. Spark doesn't list names that begin with a dot or underscore.
     """
     root = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -24,8 +40,7 @@ def file_tree(spark: SparkSession, root: str, ignore_name: str = ".gitignore") -
     path = F.expr("substring(p, position(b in p) + length(b))")
     files = raw.select(F.regexp_replace("path", "^[a-z]+:/*(?=/)", "").alias("p"), base.alias("b"), "content").select(path.alias("path"), "content")
     files = files.where(~F.col("path").rlike("(^|/)(" + "|".join(x.replace(".", r"\.") for x in EXCLUDED) + ")/"))
-    rules = [  # ignore files are few and small against what they rule
-        ("/".join(r.path.split("/")[:-1]), bytes(r.content).decode("utf-8", "replace").splitlines()) for r in files.where((F.col("path") == ignore_name) | F.col("path").endswith("/" + ignore_name)).orderBy(F.length("path")).collect()]
+    rules = ignore_files(spark, root) if rules is None else rules
     hidden = F.exists(_folders(F.col("path")), lambda f: _verdict(f, rules)) | _verdict(F.col("path"), rules)
     return files.where(~hidden).select("path", "content", F.sha2("content", 256).alias("hash"), F.expr("position(X'00' in substring(content, 1, 8192)) > 0").alias("is_binary"))
 
