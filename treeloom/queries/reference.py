@@ -544,3 +544,107 @@ def a1_nation_totals(spark, sf_dir):
     rows = rows.join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return rows.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(
         F.countDistinct("c_custkey").alias("n_customers"), F.count("o_orderkey").alias("n_orders"), F.round(F.coalesce(F.sum("o_totalprice"), F.lit(0.0)), 2).alias("total"))
+
+
+# --- more of the same families
+
+@query("""with recursive n as (select distinct id, parent from code where id is not null),
+down(id, steps, path) as (select id, 0, id from n where parent is null or parent not in (select id from n) union all select n.id, steps + 1, path || ' > ' || n.id from n join down on n.parent = down.id)
+select id, steps, path from down""")
+def o2_paths(spark, sf_dir):
+    from treeloom.operators.hierarchy import hierarchy
+
+    placed = hierarchy(trees.nodes_of(table(spark, sf_dir, "code"))).where("line is not null")
+    return placed.select("id", "steps", F.array_join(F.transform("line", lambda x: x["id"]), " > ").alias("path"))
+
+
+@query(C + """, n as (select id, file, line_start, line_end from c where source is null and file is not null and line_start is not null), l as (select distinct file, line_start, line_end, source from c where source is not null)
+select n.id, count(*) as n_leaves, md5(string_agg(l.source, chr(10) order by l.line_start)) as text_md5 from n join l on n.file = l.file and n.line_start <= l.line_start and l.line_end <= n.line_end group by n.id""")
+def e1_node_sources(spark, sf_dir):
+    rows = code_rows(spark, sf_dir, "id", "file", "line_start", "line_end", "source").where("file is not null and line_start is not null")
+    nodes = rows.where("source is null").select("id", "file", F.col("line_start").alias("ns"), F.col("line_end").alias("ne"))
+    leaves = rows.where("source is not null").select("file", "line_start", "line_end", "source").distinct()
+    inside = leaves.join(nodes, "file").where("ns <= line_start and line_end <= ne")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "source"))), lambda x: x["source"]), "\n")
+    return inside.groupBy("id").agg(F.count("*").alias("n_leaves"), F.md5(text).alias("text_md5"))
+
+
+@query(FILES + """, p as (select distinct path from f), x as (select path, unnest(range(1, len(string_split(path, '/')))) as k from p)
+select array_to_string(string_split(path, '/')[1:k], '/') as folder, count(*) as n_files from x group by 1""")
+def j5_folder_totals(spark, sf_dir):
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    return listed(spark, sf_dir).select("path").distinct().where(F.col("path").contains("/")).select(F.explode(folders).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_files"))
+
+
+@query(FILES + """, p as (select distinct path from f), d as (select path, regexp_extract(path, '([^/]+)$', 1) as name, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as folder from p)
+select path, folder, row_number() over (partition by folder order by name, path) - 1 as sibling_order from d""")
+def t28_file_positions(spark, sf_dir):
+    d = listed(spark, sf_dir).select("path").distinct().select("path", scalars.base_name(F.col("path")).alias("name"), scalars.folder(F.col("path")).alias("folder"))
+    return d.select("path", "folder", (F.row_number().over(Window.partitionBy("folder").orderBy("name", "path")) - 1).alias("sibling_order"))
+
+
+@query("""select distinct path, case status when 'added' then 'A' when 'deleted' then 'D' when 'modified' then 'M' when 'renamed' then 'R' when 'copied' then 'C' when 'type_changed' then 'T' when 'unmerged' then 'U' end as letter,
+path || case when old_path is not null then ' <- ' || old_path else '' end as said from change_status""")
+def f16_status_letters(spark, sf_dir):
+    letters = F.coalesce(*[F.when(F.col("status") == word, letter) for letter, word in tables.STATUS_LETTERS.items()])
+    return table(spark, sf_dir, "change_status").select("path", letters.alias("letter"), F.concat("path", F.when(F.col("old_path").isNotNull(), F.concat(F.lit(" <- "), F.col("old_path"))).otherwise("")).alias("said")).distinct()
+
+
+@query("""with d as (select doc_id, max(text) as text from documents where text is not null and doc_id is not null group by doc_id)
+select doc_id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) as head, greatest(0, len(string_split(text, chr(10))) - 5)::int as n_more from d""")
+def o7_first_lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
+    parts = F.split("text", "\n", -1)
+    return d.select("doc_id", F.array_join(F.slice(parts, 1, 5), "\n").alias("head"), F.greatest(F.lit(0), F.size(parts) - 5).alias("n_more"))
+
+
+@query(E + """select user_id, arg_min(event_type, (ts, event_id)) as first_type, arg_max(event_type, (ts, event_id)) as last_type, min(ts) as first_ts, max(ts) as last_ts,
+count(distinct event_type) as n_types, cast(date_diff('second', min(ts), max(ts)) as bigint) as seconds from e group by user_id""")
+def j12_first_and_last(spark, sf_dir):
+    at = F.struct("ts", "event_id")
+    return table(spark, sf_dir, "events").distinct().groupBy("user_id").agg(
+        F.min_by("event_type", at).alias("first_type"), F.max_by("event_type", at).alias("last_type"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.countDistinct("event_type").alias("n_types"),
+        F.expr("timestampdiff(SECOND, date_trunc('SECOND', min(ts)), date_trunc('SECOND', max(ts)))").alias("seconds"))
+
+
+@query(LINES + r""", m as (select *, regexp_matches(line, '^\s*(```|~~~)') as mark from f),
+x as (select *, coalesce(sum(case when mark then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as before from m),
+t as (select doc_id, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*)[ ]*(\(?)')) as t from x where not mark and before % 2 = 1)
+select doc_id, regexp_extract(t, '^([A-Za-z0-9_]+)', 1) as token, case when ends_with(t, '(') then 'call' else 'var_ref' end as kind, count(*) as n from t group by all""")
+def y9_fenced_tokens(spark, sf_dir):
+    rows = document_lines(spark, sf_dir)
+    fenced = rows.join(lines.markdown_blocks(rows, "doc_id").where("block = 'fence'"), ["doc_id", "line_no"]).where(~F.col("line").rlike(r"^\s*(```|~~~)"))
+    return symbols.text_tokens(fenced, "doc_id", "line")
+
+
+@query(C + r""", r as (select file, string_agg(source, chr(10) order by line_start) as t from c where source is not null and lower(file) like '%/readme.md' group by file),
+p as (select regexp_replace(file, '/[^/]*$', '') as id, list_filter(list_transform(string_split_regex(replace(t, chr(13), ''), '\n[ \t]*\n'), lambda p: array_to_string(list_transform(list_filter(string_split(p, chr(10)), lambda x: not regexp_matches(x, '^\s*#') and trim(x, ' ') <> ''), lambda x: trim(x, ' ')), ' ')), lambda b: b <> '')[1] as offer from r)
+select c.id, coalesce(case when trim(c.summary, ' ') <> '' then c.summary end, p.offer) as summary from c left join p on c.id = p.id where c.kind in ('module', 'codebase')""")
+def d4_module_summaries(spark, sf_dir):
+    rows = code_rows(spark, sf_dir, "id", "kind", "summary", "file", "line_start", "source")
+    leaves = rows.where("source is not null and lower(file) like '%/readme.md'")
+    whole = leaves.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "source"))), lambda x: x["source"]), "\n").alias("t"))
+    offers = whole.select(scalars.folder(F.col("file")).alias("id"), summaries.readme_paragraph(F.col("t")).alias("offer"))
+    return summaries.with_fallback(rows.where("kind in ('module', 'codebase')").select("id", "summary"), offers)
+
+
+@query()
+def l1_histories(spark, sf_dir):
+    """No SQL: a fold over ordered events; tested on fixtures."""
+    from treeloom.streaming.logs import histories
+
+    return histories(log_events(spark, sf_dir), "doc_id", "line_no")
+
+
+@query("""with l as (select l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate from lineitem)
+select l_partkey, l_orderkey, l_linenumber, rank from (select *, row_number() over (partition by l_partkey order by l_extendedprice desc, l_orderkey, l_linenumber) as rank from l) where rank <= 3""")
+def o5_top_lines(spark, sf_dir):
+    w = Window.partitionBy("l_partkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", F.row_number().over(w).alias("rank")).where("rank <= 3")
+
+
+@query("""select o.o_orderkey, count(l.l_linenumber) as n_lines, round(coalesce(sum(l.l_extendedprice), 0), 2) as total from orders o left join lineitem l on l.l_orderkey = o.o_orderkey group by o.o_orderkey""")
+def j13_order_totals(spark, sf_dir):
+    o, l = table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("l_linenumber").alias("n"), F.sum("l_extendedprice").alias("t"))
+    return o.join(l, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
