@@ -38,7 +38,7 @@ class C(B, metaclass=M):
     def g(self): return a if b else c
     assert x, "no"
     global q
-    z = r"\\" rb'x' """
+    z = r"\\\\" rb'x' """
     """ if x else \\
         0x1F + 1_000.5e-3j + .5
 '''

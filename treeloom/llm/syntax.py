@@ -523,7 +523,7 @@ Decls: Decl | Decl , Decls
 Decl: Pattern | Pattern = Asn
 Piece: Comps | Comps Simple
 Comps: % | Comp Comps
-Comp: block | Fun | Cls | if pexpr Body | if pexpr Body else Body | for pfor Body | for await pfor Body | while pexpr Body | do Body | try block Handler | switch pexpr switchbody | id : Body | export Fun | export Cls | export default Fun | export default Cls
+Comp: block | Fun | Cls | if pexpr Body | if pexpr Body else Body | for pfor Body | for await pfor Body | while pexpr Body | do Body while pexpr | try block Handler | switch pexpr switchbody | id : Body | export Fun | export Cls | export default Fun | export default Cls
 Handler: catch block | catch pparams block | finally block | catch block finally block | catch pparams block finally block
 Body: Comp | Simple | Simple ; | ;
 Simple: Expr | Var Decls | return | return Expr | throw Expr | jump | jump id | import From | export names | export names from str | export star from str | export star as name from str | export default Asn | export Var Decls
@@ -547,7 +547,7 @@ Field: Key | Key = Asn | Mods Key | Mods Key = Asn
         goes_on = re.escape(of("op", "pm", "=", "aug", ",", ".", "?", ":", "arrow", "opt", "not", ";"))
         self.joins = re.compile(
             f"(?<=[{goes_on}{of('else', 'do')}])\n+|\n+(?=[{re.escape(of('op', '=', 'aug', ',', '.', '?', ':', 'arrow', 'opt', ';', 'else', 'catch', 'finally', 'instanceof'))}\n(\\[`)])|^\n+|\n+$")
-        self.heads = re.compile(f"([{of('if', 'while', 'for')}][^\n])\n+")
+        self.heads = re.compile(f"([{of('if', 'while', 'for')}][^\n])\n+|({of('do')}[^\n])\n+(?={of('while')})")
         self.split = re.compile(f"\n|{self.abc.of(';')}(?!\n?[{of('else')}])")
 
     def is_list(self, content, separator, rule, open_end, whole):
@@ -561,7 +561,7 @@ Field: Key | Key = Asn | Mods Key | Mods Key = Asn
         return self.joins.sub("", super().lexed(text))
 
     def parts_of(self, content):
-        return super().parts_of(self.heads.sub(r"\1", self.joins.sub("", content)))
+        return super().parts_of(self.heads.sub(lambda m: m[1] or m[2], self.joins.sub("", content)))
 
     def classify(self, token):
         c, abc = token[0], self.abc
@@ -757,7 +757,7 @@ class Julia(Language):
         **{w: ("op",) for w in "== != === !== < > <= >= // << >> >>> => |> ÷ \\ / % ^ | ⊻ ∈ ∉ ≤ ≥ ≠ ⊆ .+ .- .* ./ .^ .== .< .> .<= .>= .!= .& .| .% .÷ && || -> >: .//".split()}, "<:": ("op", "sub"), "&": ("op", "pre"), "*": ("op",), "+": ("op", "pre"), "-": ("op", "pre"), "!": ("pre",), "~": ("pre", "op"), "√": ("pre",), ".!": ("pre",),
         "=": ("=",), **{w: ("aug",) for w in "+= -= *= /= ÷= %= ^= &= |= \\= //= .= .+= .-= .*= ./= .^= ⊻=".split()}, "..": ("op",), "...": ("dots",), "::": ("typed",), ".": ("dot",), "'": ("adj",), "$": ("pre",), **{w: (w,) for w in ", ; : ?".split()}}
     grammar = Grammar("""
-Stmt: % | Expr | Asn | return | return Tuple | return Asn | jump | using Mods | export Ids | decl Asn | decl Ids | decl Expr | Macro | block1 | str Stmt | Expr ; Stmt
+Stmt: % | Tuple | Asn | return | return Tuple | return Asn | jump | using Mods | export Ids | decl Asn | decl Ids | decl Expr | Macro | block1 | str Stmt | Expr ; Stmt
 Asn: Tuple = Rhs | Tuple aug Rhs | Sig = Rhs
 Sig: Un where Un | Un typed Un | Un typed Un where Un
 Rhs: Tuple | Asn | return | return Tuple | jump | decl Asn
