@@ -93,4 +93,14 @@ c as (select * from r where symbol <> '' and kind in ('call', 'var_ref')),
 t as (select symbol, kind, count(*) as occurrences, count(distinct node_id) as nodes from c group by all),
 m as (select *, case when nodes < 3 then 'rare' when nodes > 0.2 * (select count(distinct node_id) from c) then 'common' end as mark from t)
 """
-SQL = {"p1_found": _TERMS + "select symbol, kind, mark from m where mark is not null", "p1_frequencies": _TERMS + "select * from m"}
+_WINDOWS = """
+with d as (select doc_id, max(text) as text from documents where text is not null and doc_id is not null group by doc_id),
+w as (select doc_id, unnest(range(1, length(text) - 298)) as i, text from d where length(text) >= 300),
+h as (select doc_id, i, md5(substr(text, i, 300)) as h from w),
+s as (select h from h group by h having min(doc_id) < max(doc_id)),
+k as (select h.* from h semi join s on h.h = s.h)
+"""
+SQL = {"p1_found": _TERMS + "select symbol, kind, mark from m where mark is not null", "p1_frequencies": _TERMS + "select * from m",
+    "p10_found": _WINDOWS + ", u as (select distinct doc_id, h from k) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from u a join u b on a.h = b.h and a.doc_id < b.doc_id",
+    "p10_shared": _WINDOWS + """, c as (select doc_id, least(300, coalesce(lead(i) over (partition by doc_id order by i) - i, 300)) as n from k), t as (select doc_id, sum(n)::int as n from c group by doc_id)
+select d.doc_id, length(d.text)::int as n_chars, coalesce(t.n, 0) as shared_chars, case when length(d.text) > 0 then round(coalesce(t.n, 0) / length(d.text), 6) else 0 end as share from d left join t using (doc_id)"""}
