@@ -88,3 +88,22 @@ def ignored(paths: DataFrame, path: str, lines: list[str]) -> DataFrame:
     for rule, back in ignore_rules(lines):
         verdict = F.when(inner.rlike(rule), F.lit(not back)).otherwise(verdict)
     return paths.select(path, verdict.alias("ignored"))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A template with ``{{name}}`` replaced by the values; null where a name is unknown or a bracket is left over."""
+    out = template
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{{" + name + "}}"), value)
+    return F.when(~out.rlike(r"\{\{|\}\}"), out)
+
+
+def next_checkpoint(elapsed: Column) -> Column:
+    """The next of 30, 60, 120, ... seconds after what has elapsed, doubling."""
+    return F.when(elapsed < 30, F.lit(30)).otherwise((F.lit(30) * F.pow(F.lit(2), F.floor(F.log2(elapsed / 30)) + 1)).cast("int"))
+
+
+def shown_output(text: Column, most: int) -> Column:
+    """The text, or beyond so many characters its first five lines with a note of its length."""
+    head = F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n")
+    return F.when(F.length(text) > most, F.concat(head, F.lit("\n... "), F.length(text).cast("string"), F.lit(" characters in all"))).otherwise(text)

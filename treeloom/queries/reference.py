@@ -118,7 +118,7 @@ def o5_omitted_children(spark, sf_dir):
     return trees.ranked_children(code_rows(spark, sf_dir, "id", "parent", "kind", "name", "summary", "n_lines", "sibling_order"), 5)[1]
 
 
-@query(C + """select kind, count(*) as n, count(source) as n_leaves, count_if(parent is null) as n_roots, cast(sum(n_lines) as bigint) as n_lines from c group by kind""")
+@query(C + """select kind, count(*) as n, count(source) as n_leaves, count_if(parent is null)::bigint as n_roots, cast(sum(n_lines) as bigint) as n_lines from c group by kind""")
 def pr9_kinds(spark, sf_dir):
     rows = table(spark, sf_dir, "code").where("id is not null").distinct()
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("source").alias("n_leaves"), F.count_if(F.col("parent").isNull()).alias("n_roots"), F.sum("n_lines").alias("n_lines"))
@@ -141,7 +141,7 @@ def j7_orphans(spark, sf_dir):
 
 # --- spans and lines
 
-@query(C + """select file, count_if(before is not null and line_start <> before + 1) as n_breaks, count_if(n_lines <> line_end - line_start + 1) as n_wrong, max(line_end) as last_line
+@query(C + """select file, count_if(before is not null and line_start <> before + 1)::bigint as n_breaks, count_if(n_lines <> line_end - line_start + 1)::bigint as n_wrong, max(line_end) as last_line
 from (select *, lag(line_end) over (partition by file order by line_start, line_end, id) as before from c where source is not null and file is not null) group by file""")
 def t3_span_invariants(spark, sf_dir):
     leaves = code_rows(spark, sf_dir, "id", "file", "line_start", "line_end", "n_lines", "source").where("source is not null and file is not null")
@@ -175,7 +175,7 @@ def t8_adjacent_runs(spark, sf_dir):
     return lines.islands(rows.select("file", "line_start", "line_end").distinct(), "file", "line_start", "line_end")
 
 
-@query(LINES + r""", x as (select *, greatest(1, sum(case when not blank and coalesce(b, true) then 1 else 0 end) over (partition by doc_id order by line_no)) as paragraph
+@query(LINES + r""", x as (select *, greatest(1, sum(case when not blank and coalesce(b, true) then 1 else 0 end) over (partition by doc_id order by line_no))::bigint as paragraph
   from (select *, lag(blank) over (partition by doc_id order by line_no) as b from f))
 select doc_id, paragraph, min(line_no) as line_start, max(line_no) as line_end from x group by doc_id, paragraph""")
 def t21_paragraphs(spark, sf_dir):
@@ -194,7 +194,7 @@ def t25_markdown_blocks(spark, sf_dir):
 @query(LINES + r""", m as (select *, regexp_matches(line, '^\s*(```|~~~)') as mark from f),
 x as (select *, coalesce(sum(case when mark then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as before from m),
 h as (select *, not mark and before % 2 = 0 and not blank and regexp_matches(line, '^#{1,6}\s') as heading from x),
-s as (select *, sum(case when heading then 1 else 0 end) over (partition by doc_id order by line_no) as section_no from h)
+s as (select *, sum(case when heading then 1 else 0 end) over (partition by doc_id order by line_no)::bigint as section_no from h)
 select doc_id, section_no, max(case when heading then replace(regexp_replace(line, '^#+\s*', ''), '`', '') end) as title, min(line_no) as line_start, max(line_no) as line_end from s group by doc_id, section_no""")
 def t12_sections(spark, sf_dir):
     rows = document_lines(spark, sf_dir)
@@ -211,7 +211,7 @@ def t17_block_ends(spark, sf_dir):
     return lines.block_ends(written(lines.line_features(rows), "lines"), "file")
 
 
-@query(LINES + r"""select doc_id, count(*) as n_lines, count_if(blank) as n_blank, cast(max(length(line)) as int) as longest, cast(max(case when not blank then length(regexp_extract(line, '^( *)', 1)) end) as int) as deepest from f group by doc_id""")
+@query(LINES + r"""select doc_id, count(*) as n_lines, count_if(blank)::bigint as n_blank, cast(max(length(line)) as int) as longest, cast(max(case when not blank then length(regexp_extract(line, '^( *)', 1)) end) as int) as deepest from f group by doc_id""")
 def f1_line_counts(spark, sf_dir):
     rows = document_lines(spark, sf_dir)
     deepest = F.max(F.when(~F.col("blank"), F.length(F.regexp_extract("line", "^( *)", 1))))
@@ -407,7 +407,7 @@ def s6_ignored_paths(spark, sf_dir):
 @query("""with d as (select doc_id, lower(max(text)) as t from documents where text is not null and doc_id is not null group by doc_id),
 k as (select doc_id, t, unnest(['cache', 'quota', 'retry', 'session']) as word from d),
 n as (select doc_id, word, (length(t) - length(replace(t, word, ''))) // length(word) as n from k)
-select doc_id, count_if(n > 0) as n_distinct, cast(sum(n) as bigint) as n_total from n group by doc_id""")
+select doc_id, count_if(n > 0)::bigint as n_distinct, cast(sum(n) as bigint) as n_total from n group by doc_id""")
 def a13_keyword_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null and doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"))
     return evidence.keyword_scores(d, "doc_id", "text", ["cache", "quota", "retry", "session"])
@@ -420,7 +420,7 @@ def o11_batches(spark, sf_dir):
     return evidence.batches(rows.withColumn("size", F.length("source")), "file", ["line_start", "id"], "size", 3_000, 12)
 
 
-@query(C + """, f as (select file, count(*) as n_nodes, count_if(summary is not null) as n_summaries, cast(sum(length(source)) as bigint) as n_chars from c where file is not null group by file)
+@query(C + """, f as (select file, count(*) as n_nodes, count_if(summary is not null)::bigint as n_summaries, cast(sum(length(source)) as bigint) as n_chars from c where file is not null group by file)
 select file, n_nodes || case when n_nodes = 1 then ' node' else ' nodes' end as said, n_summaries, n_chars from f""")
 def f24_file_cards(spark, sf_dir):
     rows = table(spark, sf_dir, "code").where("id is not null and file is not null").distinct()
@@ -441,7 +441,7 @@ E = "with e as (select distinct * from events)\n"
 
 
 @query(E + """, x as (select *, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) > 1800 * 1000000 then 1 else 0 end as new from e window w as (partition by user_id order by ts, event_id)),
-y as (select *, sum(new) over (partition by user_id order by ts, event_id) as session_no from x)
+y as (select *, sum(new) over (partition by user_id order by ts, event_id)::bigint as session_no from x)
 select user_id, session_no, count(*) as n_events, round(sum(value), 4) as total, min(ts) as first_ts, max(ts) as last_ts from y group by all""")
 def l6_user_sessions(spark, sf_dir):
     rows = sessions.sessions_by_gap(table(spark, sf_dir, "events").distinct(), "user_id", "ts", 1800)
@@ -512,7 +512,7 @@ def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("list_id"), F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("description"), F.when(F.col("o_orderkey") != first, first).alias("parent"))
 
 
-@query(T + "select list_id, count_if(status = 'done') as done, count_if(status = 'in_progress') as in_progress, count_if(status = 'pending') as pending from o group by list_id")
+@query(T + "select list_id, count_if(status = 'done')::bigint as done, count_if(status = 'in_progress')::bigint as in_progress, count_if(status = 'pending')::bigint as pending from o group by list_id")
 def a4_task_progress(spark, sf_dir):
     return tasks.progress(task_rows(spark, sf_dir))
 
