@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators.prefix import prefix_sums
+
 EVENT = (
     "type string, timestamp string, id int, workspace string, model string, resumed_from int, content string, raw_content string, source string, origin string, purpose string, input string, tool string, tool_call_id string, "
     "output string, truncated boolean, input_tokens int, cached_input_tokens int, output_tokens int, summary string, initial_message_count int, compacted_message_count int, final_message_count int, reason string")
@@ -33,26 +35,32 @@ def event_line(event: DataFrame) -> DataFrame:
     return event.select(F.to_json(F.struct(*event.columns)).alias("line"))
 
 
-def running_totals(events: DataFrame, session: str, order: list[str], measure: str) -> DataFrame:
-    """``events`` with ``total_so_far``: the sum of ``measure`` over the session up to each event."""
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("total_so_far", F.sum(measure).over(w))
+def running_totals(events: DataFrame, session: str, order: list[str], measure: str, slot: Column | None = None) -> DataFrame:
+    """``events`` with ``total_so_far``: the sum of ``measure`` over the session up to each event. slot: see :func:`prefix_sums`; needed where one session is very long."""
+    return prefix_sums(events, [session], slot if slot is not None else F.lit(0), order, {"total_so_far": measure}).drop("total_so_far_all")
 
 
-def budget_blocks(messages: DataFrame, session: str, seq: str, tokens: str, initial: int, final: int) -> DataFrame:
-    """``messages`` with ``block``: ``initial`` for the longest prefix within its budget but always the first two, ``final`` for the longest suffix within its budget, ``middle`` for what remains. Where they overlap the prefix has precedence."""
-    front = Window.partitionBy(session).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(session).orderBy(F.col(seq).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = messages.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(seq))).withColumn("_front", F.sum(tokens).over(front)).withColumn("_back", F.sum(tokens).over(back))
-    block = F.when((F.col("_n") <= 2) | (F.col("_front") <= initial), "initial").when(F.col("_back") <= final, "final").otherwise("middle")
-    return rows.withColumn("block", block).drop("_n", "_front", "_back")
+def budget_blocks(messages: DataFrame, session: str, seq: str, tokens: str, initial: int, final: int, slot: Column | None = None) -> DataFrame:
+    """``messages`` with ``block``: ``initial`` for the longest prefix within its budget but always the first two, ``final`` for the longest suffix within its budget, ``middle`` for what remains. Where they overlap the prefix has precedence. slot as in :func:`running_totals`."""
+    rows = prefix_sums(messages.withColumn("_one", F.lit(1)), [session], slot if slot is not None else F.lit(0), [seq], {"_n": "_one", "_front": tokens})
+    back = F.col("_front_all") - F.col("_front") + F.col(tokens)
+    block = F.when((F.col("_n") <= 2) | (F.col("_front") <= initial), "initial").when(back <= final, "final").otherwise("middle")
+    return rows.withColumn("block", block).select(*messages.columns, "block")
 
 
 def sessions_by_gap(events: DataFrame, user: str, time: str, gap_seconds: int) -> DataFrame:
-    """``events`` with ``session_no`` from 1 per user: a new session begins after more than the gap without an event."""
-    w = Window.partitionBy(user).orderBy(time, "event_id")
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > F.make_dt_interval(secs=F.lit(gap_seconds))).cast("int"), F.lit(1))
-    return events.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w)).drop("_new")
+    """``events`` with ``session_no`` from 1 per user: a new session begins after more than the gap without an event.
+
+    Events are compared within a day of a user; the first of a day is compared with the last of the user's day before, so a user with very many events spreads over the days.
+    """
+    day = F.date_trunc("day", time)
+    days = events.groupBy(user, day.alias("_day")).agg(F.max(time).alias("_last"))
+    before = days.select(F.col(user).alias("_user"), F.col("_day").alias("_on"), F.lag("_last").over(Window.partitionBy(user).orderBy("_day")).alias("_earlier"))
+    dated = events.withColumn("_day", day)
+    dated = dated.join(before, F.col(user).eqNullSafe(F.col("_user")) & F.col("_day").eqNullSafe(F.col("_on"))).drop("_user", "_on")
+    last = F.coalesce(F.lag(time).over(Window.partitionBy(user, "_day").orderBy(time, "event_id")), F.col("_earlier"))
+    new = dated.withColumn("_new", F.coalesce((F.col(time) - last > F.make_dt_interval(secs=F.lit(gap_seconds))).cast("int"), F.lit(1))).drop("_earlier")
+    return prefix_sums(new, [user], F.col("_day"), [time, "event_id"], {"session_no": "_new"}).drop("session_no_all", "_new", "_day")
 
 
 def call_pairs(events: DataFrame, session: str) -> tuple[DataFrame, DataFrame]:

@@ -82,8 +82,13 @@ def ranked_children(nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     order = [
         F.when(F.lower("name") == "readme.md", 0).otherwise(1), F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", 0).otherwise(1), priority,
         F.col("n_lines").desc_nulls_last(), F.col("sibling_order").asc_nulls_last(), F.col("id")]
-    ranked = nodes.where("parent is not null").withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("parent", "id", "rank"), ranked.where(F.col("rank") > k).groupBy("parent", "kind").agg(F.count("*").alias("n_omitted"))
+    children = nodes.where("parent is not null")
+    first = children.withColumn("rank", F.row_number().over(Window.partitionBy("parent").orderBy(*order))).where(F.col("rank") <= k)  # the bound is applied before rows are shuffled
+    kept = first.groupBy("parent", "kind").agg(F.count("*").alias("n_kept"))
+    every = children.groupBy("parent", "kind").agg(F.count("*").alias("n"))
+    met = every["parent"].eqNullSafe(kept["parent"]) & every["kind"].eqNullSafe(kept["kind"])
+    omitted = every.join(kept, met, "left").select(every["parent"], every["kind"], (F.col("n") - F.coalesce("n_kept", F.lit(0))).alias("n_omitted")).where("n_omitted > 0")
+    return first.select("parent", "id", "rank"), omitted
 
 
 def rolled_up_status(changed: DataFrame, nodes: DataFrame) -> DataFrame:

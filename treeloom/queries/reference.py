@@ -450,7 +450,7 @@ def l6_user_sessions(spark, sf_dir):
 
 @query(E + "select event_id, round(sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 4) as total_so_far from e")
 def a7_running_totals(spark, sf_dir):
-    return sessions.running_totals(table(spark, sf_dir, "events").distinct(), "user_id", ["ts", "event_id"], "value").select("event_id", F.round("total_so_far", 4).alias("total_so_far"))
+    return sessions.running_totals(table(spark, sf_dir, "events").distinct(), "user_id", ["ts", "event_id"], "value", F.date_trunc("day", "ts")).select("event_id", F.round("total_so_far", 4).alias("total_so_far"))
 
 
 @query("""with d as (select doc_id, max(text) as text, max(workspace) as workspace, max(written_at) as written_at from documents where doc_id is not null group by doc_id),
@@ -460,7 +460,7 @@ select workspace, doc_id, case when n <= 2 or front <= 16000 then 'initial' when
 def w5_budget_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("workspace").alias("workspace"), F.max("written_at").alias("written_at"))
     t = d.where("workspace is not null and written_at is not null").select("doc_id", "workspace", F.struct("written_at", "doc_id").alias("seq"), sessions.token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return sessions.budget_blocks(t, "workspace", "seq", "tokens", 16_000, 8_000).select("workspace", "doc_id", "block")
+    return sessions.budget_blocks(t, "workspace", "seq", "tokens", 16_000, 8_000, F.date_trunc("day", "seq.written_at")).select("workspace", "doc_id", "block")
 
 
 EVENTS = r"""with d as (select doc_id, max(text) as text from documents where text is not null and doc_id is not null group by doc_id),
