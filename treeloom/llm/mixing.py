@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions.text import strip_unicode
 from treeloom.lineage import written
-from treeloom.llm.tokens import VOCABULARY, one_text_per_id, with_token_counts
+from treeloom.llm.tokens import VOCABULARY, sized_texts
 
 FLOWS = "mix_name string, pattern string, source string, lo bigint, hi bigint, once bigint, budget bigint"
 
@@ -113,10 +113,9 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, budget: int | None = N
     Texts without tokens, without source, or only in sources of weight zero are in no mix. Exact duplicate rows count once. The order of choice is a hash of the text and ``seed``.
     """
     name = lambda c: F.lower(strip_unicode(F.col(c)))
-    rows = one_text_per_id(documents, "source").where("text is not null and text <> ''").select("doc_id", "text", name("source").alias("source")).where("source <> ''")
-    texts = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.array_join(F.array_sort(F.collect_set("source")), "\u0001").alias("pattern"))
-    sized = with_token_counts(texts.select("doc_id", "pattern", F.xxhash64(F.lit(seed), "text").alias("h"), "text"), vocabulary).where("n_tokens > 0")
-    sized = written(sized, "sized")
+    rows = sized_texts(documents, "source", path=vocabulary).where("n_tokens > 0").withColumn("source", name("source")).where("source <> ''")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.array_join(F.array_sort(F.collect_set("source")), "\u0001").alias("pattern"))
+    sized = written(texts.select("doc_id", "pattern", "n_tokens", F.xxhash64(F.lit(seed), "digest").alias("h")), "sized")
     bits = max(4, min(20, math.ceil(math.log2(max(2, sized.count() / 10_000))) + 4))
     sized = sized.withColumn("slot", F.shiftrightunsigned("h", 64 - bits))
     slots = written(sized.groupBy("pattern", "slot").agg(F.sum("n_tokens").alias("n")), "slots")  # at most 2^bits rows a pattern

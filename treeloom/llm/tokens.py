@@ -42,7 +42,12 @@ def with_token_counts(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return df.select(*[f.name for f in kept], "text").mapInPandas(_count(path), schema)
 
 
-def one_text_per_id(documents: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, text`` and further columns, one row per id: of several the one with the greatest text (nulls least). Rows without id are left out."""
-    best = F.max(F.struct("text", *more)).alias("_b")
-    return documents.where("doc_id is not null").groupBy("doc_id").agg(best).select("doc_id", *[F.col("_b")[c].alias(c) for c in ("text", *more)])
+def sized_texts(documents: DataFrame, *more: str, path: str = VOCABULARY) -> DataFrame:
+    """``doc_id, digest, n_tokens`` and further columns, one row per id: of several texts for one id the one with the greatest SHA-256 holds. Rows without id are left out, a null text counts as empty.
+
+    Texts are counted where they are read and never shuffled; exact duplicates fall together afterwards.
+    """
+    rows = documents.where("doc_id is not null").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), *more, "text")
+    counted = with_token_counts(rows, path)
+    best = F.max(F.struct("digest", "n_tokens", *more)).alias("_b")
+    return counted.groupBy("doc_id").agg(best).select("doc_id", *[F.col("_b")[c].alias(c) for c in ("digest", "n_tokens", *more)])
