@@ -18,6 +18,6 @@ def whole_files(code: DataFrame, languages: DataFrame, wanted: list[str], keep:
     leaves = code.where("source is not null and file is not null")
     leaves = leaves.where(keep) if keep is not None else leaves
     leaves = leaves.select("file", "line_start", "source").withColumn("ext", extension(F.col("file"))).join(names, "ext")
-    lines = F.array_sort(F.array_distinct(F.collect_list(F.struct("line_start", "source"))))
+    lines = F.array_sort(F.collect_set(F.struct("line_start", "source")))
     return leaves.groupBy("file").agg(F.first("language").alias("language"), lines.alias("leaves")).select(
         "file", "language", F.array_join(F.transform("leaves", lambda x: x["source"]), "\n").alias("text"))
