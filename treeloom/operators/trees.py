@@ -45,10 +45,9 @@ def ordinal_ids(items: DataFrame, scope: str, name: str, order: list[Column]) ->
 
 def subtree_totals(nodes: DataFrame, measure: str) -> DataFrame:
     """``id, n_nodes, total``: nodes of the subtree with its root, and the sum of ``measure`` over them."""
-    below = descendants(nodes).select("ancestor", "descendant")
-    pairs = below.unionByName(hierarchy(nodes, with_line=False).where("steps is not null").select(F.col("id").alias("ancestor"), F.col("id").alias("descendant")))
-    values = nodes.select(F.col("id").alias("descendant"), F.col(measure).alias("v"))
-    return pairs.join(values, "descendant").groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_nodes"), F.sum("v").alias("total"))
+    placed = hierarchy(nodes).where("line is not null").select("id", "line")
+    measured = placed.join(nodes.select("id", F.col(measure).alias("v")), "id")
+    return measured.select("v", F.explode("line").alias("a")).groupBy(F.col("a")["id"].alias("id")).agg(F.count("*").alias("n_nodes"), F.sum("v").alias("total"))
 
 
 def first_leaves(nodes: DataFrame) -> DataFrame:
