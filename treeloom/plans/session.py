@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,17 @@ def session(name: str = "treeloom", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per Spark context, so that their Python finds it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_treeloom_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="spark-treeloom-")  # the driver's own; Spark sends the file on from there
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    context._treeloom_sent = True
+
+
 def plan_text(df: DataFrame) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
