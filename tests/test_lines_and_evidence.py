@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import scalars
 from treeloom.operators import evidence, lines, sessions, summaries, tables, tasks
+from treeloom.streaming import logs
 
 
 def feature_rows(spark, text):
@@ -124,3 +125,18 @@ def test_events(spark):
     pairs, orphans = sessions.call_pairs(events, "doc_id")
     assert [(r.tool_call_id, r.call_no, r.result_no) for r in pairs.collect()] == [("c1", 3, 4)] and [r.tool_call_id for r in orphans.collect()] == ["c2"]
     assert '"type":"tool_call"' in sessions.event_line(events.where("type = 'tool_call'")).first().line
+
+
+def test_events_of_any_form(spark):
+    lines = [
+        '{"type":"token_usage","timestamp":"t","input_tokens":5,"output_tokens":2}', '{"type": "user_message", "content": "u", "source": null}', '{"type":"compaction","timestamp":"t","summary":"S","initial_message_count":0,"compacted_message_count":1,"final_message_count":0,"total_tokens_before":9}',
+        '{"type": "tool_call", "tool": "t", "tool_call_id": "c", "input": "{\\"a\\": {\\"b\\": \\"}\\"}}", "origin": "model"} rest "}', 'note {x} 7: { "timestamp" : "t", "type" : "sigint" }', '{"type": "tool_result", "output": {"k": "v"}, "tool_call_id": "c"}',
+        '{"type": "tool_call", "input": "cut', '{"type": "tool_call", "input": {"type": "inner", "a": "b"}', '{"other": {"type": "inner", "a": "b"}}', '{"type": "x y", "a": "b"}', '[{"type": 4}]']
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    events = sessions.json_events(df, "doc_id", "text")
+    rows = events.orderBy("line_no").collect()
+    assert [(r.line_no, r.type) for r in rows] == [(1, "token_usage"), (2, "user_message"), (3, "compaction"), (4, "tool_call"), (5, "sigint"), (6, "tool_result")]
+    assert (rows[0].input_tokens, rows[0].output_tokens, rows[2].summary, rows[3].input, rows[5].output) == (5, 2, "S", '{"a": {"b": "}"}}', '{"k":"v"}')
+    again = sessions.json_events(sessions.event_line(events.drop("doc_id", "line_no")).select(F.lit(1).alias("doc_id"), F.col("line").alias("text")), "doc_id", "text")
+    assert sorted(r.type for r in again.collect()) == sorted(r.type for r in rows)
+    assert [(r.role, r.content) for r in logs.histories(events, "doc_id", "line_no").orderBy("message_no").collect()] == [("user", "S"), ("assistant", ""), ("tool", '{"k":"v"}')]

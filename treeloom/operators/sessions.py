@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +20,36 @@ REQUIRED = {
     "tool_result": ["tool_call_id", "output"], "token_usage": ["input_tokens", "output_tokens"], "compaction": ["summary", "initial_message_count", "final_message_count"], "session_end": ["reason"]}
 
 
+OBJECT = re.compile(r'\{\s*"')
+TYPED = re.compile(r'\{\s*"type"\s*:')
+DECODER = json.JSONDecoder()
+
+
+def event_object(line: str) -> str | None:
+    """The first JSON object of a line that has a type, up to its matching brace; none where an object that begins with its type is cut or malformed, and none of a type alone, since every event has more."""
+    at = 0
+    while start := OBJECT.search(line, at):
+        try:
+            value, end = DECODER.raw_decode(line, start.start())
+        except (ValueError, RecursionError):
+            if TYPED.match(line, start.start()):
+                return None
+            at = start.start() + 1
+            continue
+        if isinstance(value.get("type"), str) and re.fullmatch("[a-z_]+", value["type"]) and len(value) > 1:
+            return line[start.start():end]
+        at = end
+    return None
+
+
+def _event_objects(lines: pd.Series) -> pd.Series:
+    return lines.map(event_object)
+
+
 def json_events(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no`` and the fields of :data:`EVENT` of every line of a text that begins with a JSON object with a type; ``origin`` defaults to model. What follows the object is ignored."""
-    lines = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")))
-    found = F.regexp_extract("col", r'(\{"type": "[a-z_]+".*?"\})', 1)
-    rows = lines.select(key, (F.col("pos") + 1).alias("line_no"), found.alias("raw")).where("raw <> ''")
+    """``key, line_no`` and the fields of :data:`EVENT` of every line of a text that holds a JSON object with a type, whatever its spacing, order of keys and last value (:func:`event_object`); ``origin`` defaults to model. What stands around the object is ignored."""
+    lines = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n"))).where(F.contains("col", F.lit("{")))
+    rows = lines.select(key, (F.col("pos") + 1).alias("line_no"), F.pandas_udf(_event_objects, "string")("col").alias("raw")).where("raw is not null")
     parsed = rows.select(key, "line_no", F.from_json("raw", EVENT).alias("e")).select(key, "line_no", "e.*").where("type is not null")
     return parsed.withColumn("origin", F.coalesce("origin", F.lit("model")))
 
