@@ -50,3 +50,15 @@ def test_operator_equals_reading_every_leaf(spark):
     leaves = c.credential_leaves(df).collect()
     assert len(leaves) == len({r.id for r in leaves}) and not any(re.search(K, r.redacted) for r in leaves)
     assert c.credential_lines(df.limit(0)).count() == 0
+
+
+LIKE = "q8W7e6r5T4y3"
+WIDE = [
+    f'{{"db_pw": "{LIKE}"}}', f"cfg['pw'] = '{LIKE}'", f'pw  = "{LIKE}"', f'pw\t= "{LIKE}"', f'run("x --pw {LIKE}")', f"service.api.key={LIKE}", f'api2key = "{LIKE}"', f'auth__key = "{LIKE}"', f'dbPw = "{LIKE}"',
+    'x = "AK" + "IA" + "ABCDEFGHIJ234567"', 'x = "gh" + "p_abcd1234efgh5678ijkl9012mnop3456qrst"', f'x = "--to" + \n "ken={LIKE}"', 'x = "post" "gres:/" "/bob:s3cretXy@db/x"', '# old log\u0131n was root / Blue.Sky@1234']
+
+
+def test_every_reported_text_is_a_candidate(spark):
+    assert c.wanted() and all(c.find(t) for t in WIDE)
+    df = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(WIDE + YES + NO)], "id string, line_start int, source string")
+    assert {r.id for r in c.credential_leaves(df).collect()} == {str(i) for i, t in enumerate(WIDE + YES + NO) if c.find(t)}

@@ -1,7 +1,8 @@
 """Credentials in source text: a trigram index proposes leaves, detections verify them.
 
 Every detection is a regular expression from which the trigrams a match must contain are derived.
-The index keeps, per trigram that some detection needs, the leaves that contain it; postings are
+The index keeps, per trigram that some detection needs, the leaves that contain it, in their text or
+in the strings it joins; postings are
 intersected per required literal, and only the leaves that remain are read by the detections.
 """
 
@@ -45,6 +46,7 @@ DESCRIBING_WORDS = ["label", "header", "name", "path", "file", "url", "uri", "en
 PLACEHOLDER_WORDS = ["todo", "fixme", "xxx", "changeme", "change", "replace", "replaceme", "insert", "your", "example", "sample", "dummy", "placeholder", "redacted", "masked", "hidden", "removed", "none", "null", "nil", "undefined", "true", "false", "empty", "unset", "secret", "password", "passwd", "token", "test", "foo", "bar"]
 LITERAL = re.compile(r"(?P<q>\"\"\"|'''|[\"'`])(?P<body>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)")
 JOINED = re.compile(r"[ \t]*(?:\+|\*|\.\.|\.|<>|&|\\)?[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+|\.\.|\.)?[ \t]*(?:u8|[rRfFbBuUL]{1,2})?(?=[\"'`])")
+JOIN = re.compile(r"[\"'`]" + JOINED.pattern)
 BARE = re.compile(r"[^\s\"'`#;,()\[\]{}<>][^\s\"'`;,)]*")
 FORMS = [re.compile(p) for p in TOKEN_FORMS.values()]
 PEM, ADDRESS, AUTH, OPT, NOTE, NAME = (re.compile(p) for p in (PRIVATE_KEY, LOGIN_ADDRESS, HEADER, OPTION, LOGIN_NOTE, NAMED))
@@ -204,7 +206,10 @@ def required(pattern: str) -> list[str]:
                 here = [x for e, _ in each for x in e] if all(e is not None for e, _ in each) else None
                 inner = [x for _, b in each for x in b] if all(b for _, b in each) else []
             elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-                _, inner = walk(arg[2])
+                once, inner = walk(arg[2])
+                keep(inner)
+                if once is not None and exact is not None and len(exact) * len(once) <= 64:  # what stands before goes on into the first copy
+                    keep([a + b for a in exact for b in once])
                 here = None
             elif op in (sre.ASSERT, sre.ASSERT_NOT, sre.AT):
                 continue
@@ -226,44 +231,75 @@ def required(pattern: str) -> list[str]:
 
 
 def detections() -> list[str]:
-    """The expressions whose required literals the index serves. Named values are found by the words of the name."""
-    named = "|".join([w for w in SECRET_WORDS if len(w) > 2] + [a + s + b for a, b in SECRET_PAIRS for s in ("", "_", "-")] + ["pw:", "pw=", "pw :", "pw ="])
-    return [*TOKEN_FORMS.values(), PRIVATE_KEY, r"://", r"(?:bearer|basic) ", f"(?:{named})", r"(?:login|credential|zugang)"]
+    """The expressions of :func:`find` that tell a credential by themselves; named values and options are told by the words of :func:`names_secret`."""
+    return [*TOKEN_FORMS.values(), PRIVATE_KEY, LOGIN_ADDRESS, HEADER, LOGIN_NOTE]
+
+
+def wanted() -> list[tuple[str, ...]]:
+    """Lower-case literals of which a text that :func:`find` reports contains all of at least one tuple, itself or in its joined strings.
+
+    From the expressions, and from the words that name a credential: each word stands in the name as it is, and of a pair both do, whatever is between them.
+    """
+    every = {(x,) for p in detections() for x in required(p)} | {(w,) for w in SECRET_WORDS} | set(SECRET_PAIRS)
+    alone = {x for x, *more in every if not more}
+    return sorted(x for x in every if not any(y in a and x != (y,) for a in x for y in alone))  # one that contains another needs no postings of its own
 
 
 def literals() -> list[str]:
-    every = sorted({x for p in detections() for x in required(p)})
-    return [x for x in every if not any(y in x and y != x for y in every)]  # one that contains another needs no postings of its own
+    """Those of :func:`wanted` that stand alone."""
+    return [x for x, *more in wanted() if not more]
 
 
 def _code(gram: str) -> int:
-    a, b, c = gram.encode("latin-1")
-    return a << 16 | b << 8 | c
+    code = int.from_bytes(gram.encode("latin-1"))
+    return code if len(gram) == 3 else 1 << 24 | code
 
 
 def grams_of(literal: str) -> list[int]:
-    return sorted({_code(literal[i:i + 3]) for i in range(len(literal) - 2)})
+    """Codes of the trigrams of a literal; of one of two letters, the code of the pair."""
+    width = min(3, len(literal))
+    return sorted({_code(literal[i:i + width]) for i in range(len(literal) - width + 1)})
+
+
+def needed_grams(every: tuple[str, ...]) -> list[int]:
+    return sorted({g for x in every for g in grams_of(x)})
+
+
+def _folded(text: str) -> bytes:
+    """Lower case, with the letters that an expression without regard to case takes for i and s."""
+    return text.replace("\u0130", "i").lower().replace("\u0131", "i").replace("\u017f", "s").encode("utf-8", "surrogatepass")
+
+
+def _read_texts(text: str) -> Iterator[str]:
+    """What :func:`find` reads of a text: itself and its strings as they are joined."""
+    yield text
+    if JOIN.search(text):
+        yield from (value for value, pieces, _ in _literals(text) if len(pieces) > 1)
 
 
 def _postings(grams: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = np.zeros(1 << 24, bool)
+        need = np.zeros(1 << 25, bool)
         need[grams] = True
         schema = pa.schema([("gram", pa.int32()), ("chunks", pa.list_(pa.int64()))])
         for batch in batches:
-            texts = [x.lower().encode() for x in batch.column("source").to_pylist()]
+            texts, owners = [], []
+            for k, source in enumerate(batch.column("source").to_pylist()):
+                for x in _read_texts(source):
+                    texts.append(_folded(x) + b"\n")  # no literal has a line feed, so none goes on into the next text
+                    owners.append(k)
             keys = batch.column("chunk").to_numpy()
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            if len(data) < 3:
+            data = np.frombuffer(b"".join(texts) + b"\n", np.uint8)
+            if not texts:
                 continue
-            ends = np.cumsum([len(t) for t in texts])
-            codes = data[:-2].astype(np.int32) << 16 | data[1:-1].astype(np.int32) << 8 | data[2:]
-            at = np.flatnonzero(need[codes])
-            chunk = np.searchsorted(ends, at, "right")
-            inside = at + 3 <= ends[chunk]
-            at, chunk = at[inside], chunk[inside]
-            pairs = np.unique(codes[at].astype(np.int64) << 32 | chunk)
-            gram, chunk = pairs >> 32, pairs & 0xFFFFFFFF
+            ends, owners = np.cumsum([len(t) for t in texts]), np.array(owners)
+            pairs = data[:-1].astype(np.int32) << 8 | data[1:]
+            found = []
+            for codes in (pairs | 1 << 24, pairs[:-1] << 8 | data[2:]):
+                at = np.flatnonzero(need[codes])
+                found.append(codes[at].astype(np.int64) << 32 | owners[np.searchsorted(ends, at, "right")])
+            found = np.unique(np.concatenate(found))
+            gram, chunk = found >> 32, found & 0xFFFFFFFF
             starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
             offsets = np.r_[starts, len(gram)].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[chunk], pa.int64()))
@@ -277,9 +313,9 @@ def trigram_index(chunks: DataFrame, grams: list[int]) -> DataFrame:
     return written(chunks.mapInArrow(_postings(grams), "gram int, chunks array<bigint>"), "trigrams")
 
 
-def candidate_chunks(index: DataFrame, wanted: list[str]) -> DataFrame:
-    """``chunk`` of those that contain all trigrams of one of the ``wanted`` literals: the intersection of its postings."""
-    rows = [(n, g, len(grams_of(x))) for n, x in enumerate(wanted) for g in grams_of(x)]  # as many as the detections have trigrams
+def candidate_chunks(index: DataFrame, every: list[tuple[str, ...]]) -> DataFrame:
+    """``chunk`` of those that contain all trigrams of one of the tuples of literals: the intersection of its postings."""
+    rows = [(n, g, len(needed_grams(x))) for n, x in enumerate(every) for g in needed_grams(x)]  # as many as the detections have trigrams
     needs = index.sparkSession.createDataFrame(rows, "literal int, gram int, needed int")
     hits = index.join(needs, "gram").select("literal", "needed", F.explode("chunks").alias("chunk"))
     return hits.groupBy("chunk", "literal").agg(F.count("*").alias("n"), F.first("needed").alias("needed")).where("n >= needed").select("chunk").distinct()
@@ -301,11 +337,11 @@ def credential_leaves(code: DataFrame) -> DataFrame:
 
     Rows without id or source are left out; exact duplicates count once; a row without ``line_start`` has no lines. Sources are read whole.
     """
-    wanted = literals()
+    every = wanted()
     leaves = code.where("source is not null and id is not null").select("id", "line_start", "source")
     chunks = leaves.select(F.xxhash64("id", "source").alias("chunk"), "source")
-    index = trigram_index(chunks, sorted({g for x in wanted for g in grams_of(x)}))
-    some = candidate_chunks(index, wanted)
+    index = trigram_index(chunks, sorted({g for x in every for g in needed_grams(x)}))
+    some = candidate_chunks(index, every)
     rows = leaves.withColumn("chunk", F.xxhash64("id", "source")).join(some, "chunk", "left_semi").drop("chunk")
     return rows.mapInPandas(_verify, "id string, lines array<int>, kinds array<string>, redacted string").distinct()
 
