@@ -48,3 +48,15 @@ def test_pairs_against_brute_force(spark):
     got = {(r.a, r.b) for r in near_duplicates(spark.createDataFrame(rows, "id long, shingles array<long>, bands array<long>")).collect()}
     expected = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= SIMILAR * len(sets[i] | sets[j])}
     assert got <= expected and len(got) >= 0.98 * len(expected)
+
+
+def test_families_of_several_files(spark):
+    rng = random.Random(4)
+    short = "class {n} {{\n  constructor(src) {{ this.src = src; this.{f} = {k}; }}\n  read(cfg) {{ if (cfg.{f} > {k}) {{ return this.src.load('{n}'); }} return null; }}\n  static of(x) {{ for (const y of x) {{ new {n}(y).read({k}); }} }}\n}}\n"
+    words = "word = {{\n" + "".join(f"    '{{a}} says line {i}': 'the plain text of {{a}} and {i}',\n" for i in range(6)) + "}}\n"
+    files = {f"alpha/models/m{i}.js": short.format(n=rng.choice(WORDS), f=rng.choice(WORDS), k=i) for i in range(4)}
+    files |= {f"beta/m{i}.js": written_file(rng, "beta") for i in range(2)} | {f"beta/two{i}.js": short.format(n="Pair", f=f"own{i}", k=i).replace("null", "[src, 1, {}]").replace("static of", "get of") for i in range(2)}
+    code = spark.createDataFrame([(f, 1, t) for f, t in files.items()], "file string, line_start int, source string")
+    names = spark.createDataFrame([(".js", "javascript"), (".py", "python")], "extension string, language string")
+    got = {r.file: r.origin for r in file_origins(code, names, with_classes=False).collect()}
+    assert got == {f: "generated" if f.startswith("alpha") else "own" for f in files}

@@ -2,7 +2,7 @@
 
 Files become shingles of five tokens with identifiers masked. MinHash bands propose pairs that are
 verified on the shingle sets: links across repositories show vendoring. With literals masked too,
-a file that repeats few forms over and over is of a generator's family, one packed into long
+files of a repository that share their forms, or one that repeats few over and over, are of a generator's family, one packed into long
 lines is minified, and one that is literals only is data.
 """
 
@@ -25,7 +25,9 @@ from treeloom.operators.components import components
 LANGUAGES = ["julia", "cpp", "python", "javascript"]
 #: 40 bands of 8 rows propose a pair of similarity 0.8 with a probability of 0.9994, one of 0.4 with 0.026.
 WIDTH, BANDS, BAND_ROWS, SIMILAR = 5, 40, 8, 0.8
-#: A family: every form stands at least eleven times on average, and there are few; a packed file: its lines are long on average; data: literals are nine tenths of the code.
+#: A family of several files of a repository: three or more with verified forms, none of fewer than LEAST_SHINGLES forms.
+FAMILY_FILES = 3
+#: A family of one file: every form stands at least eleven times on average, and there are few; a packed file: its lines are long on average; data: literals are nine tenths of the code.
 REPEATED, FORMS, LEAST_TOKENS, LINE_LENGTH, LITERAL_SHARE, LEAST_DATA, LEAST_SHINGLES, PART_FILES = 0.09, 64, 60, 100, 0.9, 400, 32, 1_000
 # Words that stay as they are when identifiers are masked.
 KEYWORDS = frozenset(
@@ -86,7 +88,7 @@ def band_keys(values: np.ndarray) -> list[int]:
     return (keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def _features(with_forms: bool):
+def _features():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code_of = _Codes()
         with np.errstate(over="ignore"):
@@ -110,7 +112,7 @@ def _features(with_forms: bool):
                     rows.append((
                         file, language, repository, len(tokens), len(forms), len(kept), len(forms) / max(1, len(tokens) - WIDTH + 1), len(text) / (text.count("\n") + 1),
                         float(sizes[kind >= 2].sum() / max(1, sizes.sum())), literal, spaces / max(1, literal), own, kept.view(np.int32).tolist(),
-                        band_keys(kept.astype(np.uint64)) if len(kept) else [], forms.view(np.int32).tolist() if with_forms else [], band_keys(forms.astype(np.uint64)) if with_forms and len(forms) else []))
+                        band_keys(kept.astype(np.uint64)) if len(kept) else [], forms.view(np.int32).tolist(), band_keys(forms.astype(np.uint64)) if len(forms) else []))
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
     return run
@@ -141,14 +143,31 @@ def near_duplicates(sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_similar, "a bigint, b bigint")
 
 
+def several_files(files: DataFrame) -> DataFrame:
+    """``repository, form_id`` of the sets of forms whose family, linked within the repository by a similarity of 0.8 or more, has three files or more. ``files`` has ``repository, form_id, form_set, form_bands``, a row a file.
+
+    In a family of three files or more, each set has three files around it or is linked to one that has.
+    """
+    own = ["repository", "form_id"]
+    sets = files.groupBy(*own).agg(F.first("form_set").alias("shingles"), F.first("form_bands").alias("form_bands"), F.count("*").alias("n_files"))
+    sets = written(sets.select(*own, F.xxhash64(*own).alias("id"), "shingles", F.transform("form_bands", lambda x: F.xxhash64("repository", x)).alias("bands"), "n_files"), "repository_forms")
+    links = written(near_duplicates(sets), "repository_links")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = sets.select("id", "n_files")
+    near = ends.join(counts.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n_files").alias("n"))
+    around = counts.join(near, "id", "left").select("id", (F.col("n_files") + F.coalesce("n", F.lit(0))).alias("n")).where(F.col("n") >= FAMILY_FILES).select("id")
+    family = around.unionByName(ends.join(around.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))).distinct()
+    return sets.join(family, "id", "left_semi").select(*own)
+
+
 def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = True) -> DataFrame:
     """``file, language, origin, class_id, n_links``: ``generated``, ``minified``, ``data``, ``vendored`` or ``own`` for every file in julia, cpp, python or javascript.
 
     class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files by their forms with literals masked; n_links: distinct similar sets besides its own.
     A file similar to one of another repository is vendored unless three or more of its names begin with the name of its own repository. Sets of fewer than 32 shingles are too short to show
-    copying. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
+    copying. What isn't vendored and of a family of several files (:func:`several_files`) is generated, or data where it is literals only. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
     """
-    features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(with_classes), FEATURES), "features")
+    features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(), FEATURES), "features")
     packed = (F.col("line_length") >= LINE_LENGTH) & (F.col("n_tokens") >= LEAST_TOKENS)
     data = (F.col("literal_share") >= LITERAL_SHARE) & (F.col("literal_chars") >= LEAST_DATA) & (F.col("prose") < 0.08)
     family = (F.col("repeated") <= REPEATED) & (F.col("n_forms") <= FORMS) & (F.col("n_tokens") >= LEAST_TOKENS)
@@ -164,7 +183,11 @@ def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = Tru
     reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.count("*").alias("n_links"))
     reach = sets.select("id", "r1", "r2").join(reach, "id", "left").select("id", F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     elsewhere = (F.col("lo") < F.col("hi")) & (F.col("n_shingles") >= LEAST_SHINGLES) & (F.col("own_names") < 3)
-    linked = rest.join(reach, "id").select("file", "language", F.when(elsewhere, "vendored").otherwise("own").alias("origin"), F.col("id").alias("set_id"), "n_links")
+    formed = rest.where(F.col("n_forms") >= LEAST_SHINGLES).withColumn("form_id", set_id("form_set"))
+    several = several_files(formed).withColumn("of_several", F.lit(True))
+    linked = rest.withColumn("form_id", set_id("form_set")).join(several, ["repository", "form_id"], "left").join(reach, "id")
+    origin = F.when(elsewhere, "vendored").when(F.col("of_several") & (F.col("literal_share") >= LITERAL_SHARE), "data").when(F.col("of_several"), "generated").otherwise("own")
+    linked = linked.select("file", "language", origin.alias("origin"), F.col("id").alias("set_id"), "n_links")
     if with_classes:
         named = components(links)
         linked = linked.join(named, linked["set_id"] == named["node"], "left").select("file", "language", "origin", F.coalesce("component", "set_id").alias("class_id"), "n_links")
