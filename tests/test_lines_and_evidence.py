@@ -140,3 +140,12 @@ def test_events_of_any_form(spark):
     again = sessions.json_events(sessions.event_line(events.drop("doc_id", "line_no")).select(F.lit(1).alias("doc_id"), F.col("line").alias("text")), "doc_id", "text")
     assert sorted(r.type for r in again.collect()) == sorted(r.type for r in rows)
     assert [(r.role, r.content) for r in logs.histories(events, "doc_id", "line_no").orderBy("message_no").collect()] == [("user", "S"), ("assistant", ""), ("tool", '{"k":"v"}')]
+
+
+def test_cells_of_whole_texts(spark, tmp_path):
+    from treeloom.queries.reference import f14_whole_cells
+
+    source, signature = "a|b\r\n\t" * 100, "f(é)" * 30
+    spark.createDataFrame([("1", source, signature), ("1", source, signature), ("2", None, None), (None, "x", "y")], "id string, source string, signature string").write.parquet(str(tmp_path / "code.parquet"))
+    got = {r.id: (r.cell, r.packed) for r in f14_whole_cells(spark, str(tmp_path)).collect()}
+    assert got == {"1": ("a\\|b \\n " * 100, signature.encode().hex().upper()), "2": ("missing", None)}

@@ -326,6 +326,13 @@ def f14_cells(spark, sf_dir):
     return rows.select("id", scalars.table_cell(F.left("source", F.lit(200))).alias("cell"), F.hex(F.encode(F.left("signature", F.lit(40)), "UTF-8")).alias("packed"), scalars.base_name(F.col("file")).alias("base"), scalars.folder(F.col("file")).alias("folder"))
 
 
+@query(C + r"select id, coalesce(replace(replace(replace(replace(source, chr(13), ' '), chr(10), '\n'), '|', '\|'), chr(9), ' '), 'missing') as cell, hex(encode(signature)) as packed from c")
+def f14_whole_cells(spark, sf_dir):
+    """Cells and hex of the whole source and signature; :func:`f14_cells` shows their beginnings."""
+    rows = code_rows(spark, sf_dir, "*")
+    return rows.select("id", scalars.table_cell(F.col("source")).alias("cell"), F.hex(F.encode("signature", "UTF-8")).alias("packed"))
+
+
 @query(C + r"select id, contains(signature, 'async ') as is_async, nullif(regexp_extract(signature, '\(([^()]*)\)', 1), '') as params, cast(len(regexp_extract_all(coalesce(source, ''), '\b(if|for|while|elif|elseif|case|catch|except)\b')) as int) as branches from c where kind in ('function', 'method')")
 def pr8_signatures(spark, sf_dir):
     rows = table(spark, sf_dir, "code").where("id is not null and kind in ('function', 'method')").distinct()
