@@ -60,3 +60,15 @@ def test_families_of_several_files(spark):
     names = spark.createDataFrame([(".js", "javascript"), (".py", "python")], "extension string, language string")
     got = {r.file: r.origin for r in file_origins(code, names, with_classes=False).collect()}
     assert got == {f: "generated" if f.startswith("alpha") else "own" for f in files}
+
+
+def test_originals_and_short_copies(spark):
+    rng = random.Random(6)
+    lib, mine = written_file(rng, "libx") + "\ndataFrame(dataRow, dataSize);\n", written_file(rng, "gamma")
+    short = "export function pick(src, key) { return src.find((x) => x.key === key) || null; }\n"
+    files = {"data-tools/deps/x.js": lib, "beta/deps/x.js": lib, "gamma/src/own.js": mine, "beta/deps/g.js": mine, "gamma/pick.js": short, "beta/pick.js": "// a notice\n" + short, "delta/pick.js": short.replace("key", "name"), "beta/a.js": "const a = 1;", "gamma/a.js": "const a = 1;"}
+    code = spark.createDataFrame([(f, 1, t) for f, t in files.items()], "file string, line_start int, source string")
+    names = spark.createDataFrame([(".js", "javascript")], "extension string, language string")
+    got = {r.file: r.origin for r in file_origins(code, names, with_classes=False).collect()}
+    own = {"gamma/src/own.js", "delta/pick.js", "beta/a.js", "gamma/a.js"}
+    assert got == {f: "own" if f in own else "vendored" for f in files}

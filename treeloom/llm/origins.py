@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from treeloom.operators.components import components
 LANGUAGES = ["julia", "cpp", "python", "javascript"]
 #: 40 bands of 8 rows propose a pair of similarity 0.8 with a probability of 0.9994, one of 0.4 with 0.026.
 WIDTH, BANDS, BAND_ROWS, SIMILAR = 5, 40, 8, 0.8
+#: An original: three names and a tenth of all begin with the name of its repository. A short copy: equal in all its tokens, of which it has twenty.
+OWN_NAMES, OWN_SHARE, LEAST_COPY = 3, 0.1, 20
 #: A family of several files of a repository: three or more with verified forms, none of fewer than LEAST_SHINGLES forms.
 FAMILY_FILES = 3
 #: A family of one file: every form stands at least eleven times on average, and there are few; a packed file: its lines are long on average; data: literals are nine tenths of the code.
@@ -37,7 +40,7 @@ STRINGS = r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|R"\w*\(.*?\)\w*"|`
 REST = r"|\d[\w.]*|[^\W\d]\w*|[^\s\w]"
 HASH_COMMENTS = re.compile(STRINGS + r"|#=.*?=#|#[^\n]*" + REST, re.S)
 SLASH_COMMENTS = re.compile(STRINGS + r"|//[^\n]*|/\*.*?\*/" + REST, re.S)
-FEATURES = "file string, language string, repository string, n_tokens int, n_forms int, n_shingles int, repeated double, line_length double, literal_share double, literal_chars int, prose double, own_names int, shingles array<int>, bands array<bigint>, form_set array<int>, form_bands array<bigint>"
+FEATURES = "file string, language string, repository string, n_tokens int, n_forms int, n_shingles int, repeated double, line_length double, literal_share double, literal_chars int, prose double, own_names int, n_names int, exact bigint, shingles array<int>, bands array<bigint>, form_set array<int>, form_bands array<bigint>"
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64)
@@ -105,13 +108,14 @@ def _features():
                     literal = int(sizes[kind == 2].sum())
                     spaces = sum(t.count(" ") for t, k in zip(tokens, kind.tolist()) if k == 2 and t[0] in "\"'`R") if literal > LEAST_DATA else 0
                     repository = file.split("/", 1)[0]
-                    own = 0
-                    for name in {t for t, k in zip(tokens, kind.tolist()) if k == 1}:
+                    own, names = 0, {t for t, k in zip(tokens, kind.tolist()) if k == 1}
+                    exact = int.from_bytes(blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+                    for name in names:
                         first = re.match(r"[a-z]{4,}|[A-Z]{4,}", name)
                         own += bool(first and len(first.group()) < len(name) and repository.lower().startswith(first.group().lower()))
                     rows.append((
                         file, language, repository, len(tokens), len(forms), len(kept), len(forms) / max(1, len(tokens) - WIDTH + 1), len(text) / (text.count("\n") + 1),
-                        float(sizes[kind >= 2].sum() / max(1, sizes.sum())), literal, spaces / max(1, literal), own, kept.view(np.int32).tolist(),
+                        float(sizes[kind >= 2].sum() / max(1, sizes.sum())), literal, spaces / max(1, literal), own, len(names), exact, kept.view(np.int32).tolist(),
                         band_keys(kept.astype(np.uint64)) if len(kept) else [], forms.view(np.int32).tolist(), band_keys(forms.astype(np.uint64)) if len(forms) else []))
                 yield pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
 
@@ -164,8 +168,8 @@ def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = Tru
     """``file, language, origin, class_id, n_links``: ``generated``, ``minified``, ``data``, ``vendored`` or ``own`` for every file in julia, cpp, python or javascript.
 
     class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files by their forms with literals masked; n_links: distinct similar sets besides its own.
-    A file similar to one of another repository is vendored unless three or more of its names begin with the name of its own repository. Sets of fewer than 32 shingles are too short to show
-    copying. What isn't vendored and of a family of several files (:func:`several_files`) is generated, or data where it is literals only. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
+    A file similar to one of another repository is vendored unless it is the original: three or more of its names, and a tenth of all, begin with the name of its own repository, and no file similar
+    to it bears out another repository in that way. Sets of fewer than 32 shingles are too short for similarity: such files are copies where all their tokens, twenty or more, are equal. What isn't vendored and of a family of several files (:func:`several_files`) is generated, or data where it is literals only. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
     """
     features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(), FEATURES), "features")
     packed = (F.col("line_length") >= LINE_LENGTH) & (F.col("n_tokens") >= LEAST_TOKENS)
@@ -176,16 +180,20 @@ def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = Tru
     # sets of files that are judged on themselves need no links; equal sets are one class
     set_id = lambda c: F.xxhash64(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
     ids = set_id("shingles")
-    rest = judged.where("alone is null and n_shingles >= 1").withColumn("id", ids)
-    sets = written(rest.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.first("n_shingles").alias("n_shingles")), "sets")
+    named_own = (F.col("own_names") >= OWN_NAMES) & (F.col("own_names") >= OWN_SHARE * F.col("n_names"))
+    rest = judged.where("alone is null and n_shingles >= 1").withColumn("id", ids).withColumn("claim", F.when(named_own, F.col("repository")))
+    sets = written(rest.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.min("claim").alias("c1"), F.max("claim").alias("c2"), F.first("n_shingles").alias("n_shingles")), "sets")
     links = written(near_duplicates(sets.where(F.col("n_shingles") >= LEAST_SHINGLES)), "links")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.count("*").alias("n_links"))
-    reach = sets.select("id", "r1", "r2").join(reach, "id", "left").select("id", F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    elsewhere = (F.col("lo") < F.col("hi")) & (F.col("n_shingles") >= LEAST_SHINGLES) & (F.col("own_names") < 3)
+    reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2", "c1", "c2"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.min("c1").alias("m1"), F.max("c2").alias("m2"), F.count("*").alias("n_links"))
+    reach = sets.select("id", "r1", "r2", "c1", "c2").join(reach, "id", "left").select("id", F.least("c1", "m1").alias("first_claim"), F.greatest("c2", "m2").alias("last_claim"), F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    original = F.col("claim").isNotNull() & (F.col("first_claim") == F.col("last_claim"))
+    short = (F.col("n_shingles") < LEAST_SHINGLES) & (F.col("n_tokens") >= LEAST_COPY)
+    copies = rest.where(short).groupBy("exact").agg(F.min("repository").alias("x1"), F.max("repository").alias("x2")).where("x1 < x2").select("exact", F.lit(True).alias("copied"))
+    elsewhere = F.when(F.col("n_shingles") >= LEAST_SHINGLES, F.col("lo") < F.col("hi")).otherwise(short & F.coalesce("copied", F.lit(False))) & ~F.coalesce(original, F.lit(False))
     formed = rest.where(F.col("n_forms") >= LEAST_SHINGLES).withColumn("form_id", set_id("form_set"))
     several = several_files(formed).withColumn("of_several", F.lit(True))
-    linked = rest.withColumn("form_id", set_id("form_set")).join(several, ["repository", "form_id"], "left").join(reach, "id")
+    linked = rest.withColumn("form_id", set_id("form_set")).join(several, ["repository", "form_id"], "left").join(reach, "id").join(copies, "exact", "left")
     origin = F.when(elsewhere, "vendored").when(F.col("of_several") & (F.col("literal_share") >= LITERAL_SHARE), "data").when(F.col("of_several"), "generated").otherwise("own")
     linked = linked.select("file", "language", origin.alias("origin"), F.col("id").alias("set_id"), "n_links")
     if with_classes:
