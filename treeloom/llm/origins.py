@@ -1,17 +1,19 @@
 """Files nobody wrote by hand for their repository: generated, minified, vendored, or data in the dress of code.
 
-Files become shingles of five tokens with identifiers masked. MinHash bands propose pairs that are
-verified on the shingle sets: links across repositories show vendoring. With literals masked too,
-files of a repository that share their forms, or one that repeats few over and over, are of a generator's family, one packed into long
-lines is minified, and one that is literals only is data.
+Everything is told by clusters of token shingles with identifiers masked. MinHash bands propose pairs that are verified
+on the shingle sets. Whole files: links across repositories show vendoring. With literals masked too, files of one
+repository that share their forms are a generator's family, and so are the pieces (declarations, statements) of a file
+of which eight or more are linked: a file that is mostly such pieces is generated, or minified where it is packed into
+long lines. The same of pieces that are literals only shows data.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from hashlib import blake2b
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,23 +26,38 @@ from treeloom.llm.files import whole_files
 from treeloom.operators.components import components
 
 LANGUAGES = ["julia", "cpp", "python", "javascript"]
-#: 40 bands of 8 rows propose a pair of similarity 0.8 with a probability of 0.9994, one of 0.4 with 0.026.
-WIDTH, BANDS, BAND_ROWS, SIMILAR = 5, 40, 8, 0.8
-#: An original: three names and a tenth of all begin with the name of its repository. A short copy: equal in all its tokens, of which it has twenty.
-OWN_NAMES, OWN_SHARE, LEAST_COPY = 3, 0.1, 20
-#: A family of several files of a repository: three or more with verified forms, none of fewer than LEAST_SHINGLES forms.
+#: 40 bands of 8 rows propose a pair of similarity 0.8 with a probability of 0.9994, one of 0.4 with 0.026; forms are compared in one repository and take 20 of 6 (0.998 and 0.08), pieces in one file and take 10 of 4 (0.995 and 0.23).
+WIDTH, BANDS, BAND_ROWS, FORM_BANDS, FORM_ROWS, PIECE_BANDS, PIECE_ROWS, SIMILAR = 5, 40, 8, 20, 6, 10, 4, 0.8
+#: An original: three names and a tenth of all begin with the name of its repository.
+OWN_NAMES, OWN_SHARE = 3, 0.1
+#: Smaller sets agree by chance once names are masked: such files are compared whole, token by token, if they have this many tokens.
+MASKED_FROM, LEAST_COPY = 32, 20
+#: A family of files of a repository: three or more that are linked by MASKED_FROM forms or more.
 FAMILY_FILES = 3
-#: A family of one file: every form stands at least eleven times on average, and there are few; a packed file: its lines are long on average; data: literals are nine tenths of the code.
-REPEATED, FORMS, LEAST_TOKENS, LINE_LENGTH, LITERAL_SHARE, LEAST_DATA, LEAST_SHINGLES, PART_FILES = 0.09, 64, 60, 100, 0.9, 400, 32, 1_000
+#: A family of pieces: eight or more in one file; half of a file's tokens stand in such pieces if it is generated, nine tenths of its characters in pieces that are literals only if it is data.
+FAMILY_PIECES, FAMILY_SHARE, LITERAL_SHARE = 8, 0.5, 0.9
+#: A piece of code has six tokens or more, one of a literal is a line of it, at most forty characters; packed lines hold 25 tokens on average besides literals and commas.
+PIECE_TOKENS, LITERAL_PIECE, PACKED_TOKENS = 6, 40, 25
+PART_FILES = 1_000
 # Words that stay as they are when identifiers are masked.
 KEYWORDS = frozenset(
     "function end def return for in if class import export from const let var struct using while else elif elseif auto int void bool char float double long async await public private protected static new this self "
     "nothing null nullptr None true false True False try catch except finally throw raise switch case default break continue do begin module template namespace typedef enum lambda yield with as and or not is".split())
 STRINGS = r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|R"\w*\(.*?\)\w*"|`(?:[^`\\]|\\.)*`|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 REST = r"|\d[\w.]*|[^\W\d]\w*|[^\s\w]"
-HASH_COMMENTS = re.compile(STRINGS + r"|#=.*?=#|#[^\n]*" + REST, re.S)
+# Words that head a declaration of members, and tokens that go on with what an unindented line before them began.
+CONTAINERS = frozenset("class struct namespace module baremodule interface enum union extern trait".split())
+GOES_ON = frozenset("end else elseif elif except finally catch ) ] }".split())
+HASH_COMMENTS = re.compile(STRINGS + r"|#=.*?=#|#[^\n]*|\n[ \t]*" + REST, re.S)
 SLASH_COMMENTS = re.compile(STRINGS + r"|//[^\n]*|/\*.*?\*/" + REST, re.S)
-FEATURES = "file string, language string, repository string, n_tokens int, n_forms int, n_shingles int, repeated double, line_length double, literal_share double, literal_chars int, prose double, own_names int, n_names int, exact bigint, shingles array<int>, bands array<bigint>, form_set array<int>, form_bands array<bigint>"
+VALUES = re.compile(r"[\w+/=.-]+|[^\s\w]")
+PROSE = re.compile(r"[^\W\d_]+ [^\W\d_]+ [^\W\d_]+")
+SETS = "array<struct<masked: boolean, id: bigint, size: int, shingles: array<int>, bands: array<bigint>>>"
+PIECES = "array<struct<literal: boolean, id: bigint, n: int, weight: int, shingles: array<int>, bands: array<bigint>>>"
+FEATURES = (
+    "file string, language string, repository string, n_tokens int, n_chars int, packed boolean, own_names int, n_names int, "
+    f"sets {SETS}, form_id bigint, form_set array<int>, form_bands array<bigint>, pieces {PIECES}")
+COLUMNS = ["file", "language", "repository", "n_tokens", "n_chars", "packed", "own_names", "n_names", "sets", "form_id", "form_set", "form_bands", "pieces"]
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64)
@@ -82,13 +99,124 @@ def shingles(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(values: np.ndarray) -> list[int]:
+def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
     """One key per band of MinHash rows."""
-    least = (_mix(values[:, None] * _MULTIPLY + _ADD)).min(axis=0).reshape(BANDS, BAND_ROWS)
-    keys = np.zeros(BANDS, np.uint64)
-    for k in range(BAND_ROWS):
-        keys = _mix(keys * np.uint64(31) + least[:, k])
-    return (keys ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+    k = bands * rows
+    least = (_mix(values[:, None] * _MULTIPLY[:k] + _ADD[:k])).min(axis=0).reshape(bands, rows)
+    keys = np.zeros(bands, np.uint64)
+    for r in range(rows):
+        keys = _mix(keys * np.uint64(31) + least[:, r])
+    return (keys ^ np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def _set_of(codes: np.ndarray) -> np.ndarray:
+    return np.unique(shingles(codes).astype(np.uint32))
+
+
+def counted(values: np.ndarray) -> np.ndarray:
+    """A set that tells how often each hash occurs: of equal ones each counts with its number. Long files of one style have all their forms in common, but not as often."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    number = np.arange(len(values)) - np.repeat(starts, np.diff(np.r_[starts, len(values)]))
+    return np.unique(_mix(values * np.uint64(31) + number.astype(np.uint64)).astype(np.uint32))
+
+
+def _id_of(values: np.ndarray) -> int:
+    """A hash of a set."""
+    return int.from_bytes(blake2b(values.tobytes(), digest_size=8).digest(), signed=True)
+
+
+def cut_by_lines(tokens: list[str]) -> tuple[list[str], list[int]]:
+    """Tokens without line ends, and where pieces begin: at lines without indentation, and at those of the members of a class or module."""
+    out, cuts, depth, level, indent, at_start, opened = [], [], 0, 0, 0, True, False
+    for t in tokens:
+        if t[0] == "\n":
+            at_start, indent = True, len(t) - 1
+            continue
+        if at_start and depth <= 0:
+            if opened or indent < level:
+                level, opened = indent, False
+            if indent <= level and t not in GOES_ON:
+                cuts.append(len(out))
+                opened = t in CONTAINERS
+        at_start = False
+        out.append(t)
+        if t in "([{":
+            depth += 1
+        elif t in ")]}":
+            depth -= 1
+    return out, cuts
+
+
+def cut_by_braces(tokens: list[str]) -> list[int]:
+    """Where pieces begin: after a semicolon or closing brace that stands in no bracket but those of classes, structures and namespaces."""
+    cuts, begin, open_at = [0] if tokens else [], 0, []  # open_at: whether each open bracket holds members
+    for i, t in enumerate(tokens):
+        ends = False
+        if t in "([{":
+            holds = t == "{" and all(open_at) and "(" not in tokens[begin:i] and any(x in CONTAINERS for x in tokens[begin:i])
+            open_at.append(holds)
+            ends = holds
+        elif t in ")]}":
+            if open_at:
+                open_at.pop()
+            ends = t == "}" and all(open_at)
+        elif t == ";":
+            ends = all(open_at)
+        if ends and i + 1 < len(tokens):
+            begin = i + 1
+            cuts.append(begin)
+    return cuts
+
+
+@lru_cache(100_000)
+def _piece(codes: bytes) -> tuple[int, list[int], list[int]]:
+    """Id, set and bands of a piece's codes."""
+    values = _set_of(np.frombuffer(codes, np.int64))
+    return _id_of(values), values.view(np.int32).tolist(), band_keys(values.astype(np.uint64), PIECE_BANDS, PIECE_ROWS)
+
+
+def _literal_runs(tokens: list[str], kinds: list[int]) -> Iterator[str]:
+    """Stretches of a file that are nothing but literals and what stands between them."""
+    run: list[str] = []
+    for t, k in zip(tokens, kinds):
+        if k >= 2 or t in "[](){}:;=+-":
+            run.append(t)
+        elif run:
+            yield "".join(run)
+            run = []
+    yield "".join(run)
+
+
+def pieces_of(tokens: list[str], masked: np.ndarray, kinds: list[int], cuts: list[int]) -> list[dict]:
+    """``literal, id, n, weight, shingles, bands`` of the distinct pieces of a file: declarations and statements by tokens, lines of literals by characters.
+
+    A file of fewer than eight pieces of a sort has no family of them, so none are returned.
+    """
+    found: dict[tuple, list[int]] = {}
+    for a, b in zip(cuts, [*cuts[1:], len(tokens)]):
+        if b - a >= PIECE_TOKENS:
+            seen = found.setdefault((False, masked[a:b].tobytes()), [0, 0])
+            seen[0] += 1
+            seen[1] += b - a
+    for run in _literal_runs(tokens, kinds):
+        for line in run.split("\n"):
+            for a in range(0, len(line), LITERAL_PIECE):
+                part = line[a:a + LITERAL_PIECE]
+                if not PROSE.search(part) and not part.isspace():
+                    codes = np.array([1 if x[0].isalnum() or x[0] in "+/=._-" else ord(x[0]) << 2 for x in VALUES.findall(part)], np.int64)
+                    seen = found.setdefault((True, codes.tobytes()), [0, 0])
+                    seen[0] += 1
+                    seen[1] += len(part)
+    total = {sort: sum(n for (s, _), (n, _) in found.items() if s == sort) for sort in (False, True)}
+    merged: dict[tuple, list] = {}
+    for (sort, codes), (n, weight) in found.items():
+        if total[sort] >= FAMILY_PIECES:
+            id_, values, bands = _piece(codes)
+            seen = merged.setdefault((sort, id_), [0, 0, values, bands])
+            seen[0] += n
+            seen[1] += weight
+    return [{"literal": sort, "id": id_, "n": n, "weight": weight, "shingles": values, "bands": bands} for (sort, id_), (n, weight, values, bands) in merged.items()]
 
 
 def _features():
@@ -96,28 +224,36 @@ def _features():
         code_of = _Codes()
         with np.errstate(over="ignore"):
             for batch in batches:
-                rows = []
+                rows, held = [], 0
                 for file, language, text in zip(batch["file"], batch["language"], batch["text"]):
-                    hashes = language in ("python", "julia")
-                    tokens = [t for t in (HASH_COMMENTS if hashes else SLASH_COMMENTS).findall(text) if not (t[0] == "#" and len(t) > 1 if hashes else t[:2] in ("//", "/*"))]
+                    if language in ("python", "julia"):
+                        tokens, cuts = cut_by_lines([t for t in HASH_COMMENTS.findall(text) if t[0] != "#"])
+                    else:
+                        tokens = [t for t in SLASH_COMMENTS.findall(text) if t[:2] not in ("//", "/*")]
+                        cuts = cut_by_braces(tokens)
                     codes = np.fromiter(map(code_of.__getitem__, tokens), np.int64, len(tokens))
-                    kind = codes & 3
-                    masked = np.where(kind == 2, 2, codes)
-                    kept, forms = (np.unique(shingles(x).astype(np.uint32)) for x in (codes, masked))
-                    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                    literal = int(sizes[kind == 2].sum())
-                    spaces = sum(t.count(" ") for t, k in zip(tokens, kind.tolist()) if k == 2 and t[0] in "\"'`R") if literal > LEAST_DATA else 0
+                    kinds = codes & 3
+                    masked = np.where(kinds == 2, 2, codes)
+                    kept, forms = _set_of(codes), counted(shingles(masked))
+                    sets = []
+                    if len(kept) >= MASKED_FROM:
+                        sets.append({"masked": True, "id": _id_of(kept), "size": len(kept), "shingles": kept.view(np.int32).tolist(), "bands": band_keys(kept.astype(np.uint64))})
+                    elif len(tokens) >= LEAST_COPY:
+                        exact = int.from_bytes(blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+                        sets.append({"masked": False, "id": exact, "size": len(kept), "shingles": [], "bands": []})
                     repository = file.split("/", 1)[0]
-                    own, names = 0, {t for t, k in zip(tokens, kind.tolist()) if k == 1}
-                    exact = int.from_bytes(blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+                    own, names = 0, {t for t, k in zip(tokens, kinds.tolist()) if k == 1}
                     for name in names:
                         first = re.match(r"[a-z]{4,}|[A-Z]{4,}", name)
                         own += bool(first and len(first.group()) < len(name) and repository.lower().startswith(first.group().lower()))
                     rows.append((
-                        file, language, repository, len(tokens), len(forms), len(kept), len(forms) / max(1, len(tokens) - WIDTH + 1), len(text) / (text.count("\n") + 1),
-                        float(sizes[kind >= 2].sum() / max(1, sizes.sum())), literal, spaces / max(1, literal), own, len(names), exact, kept.view(np.int32).tolist(),
-                        band_keys(kept.astype(np.uint64)) if len(kept) else [], forms.view(np.int32).tolist(), band_keys(forms.astype(np.uint64)) if len(forms) else []))
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.split(", ")])
+                        file, language, repository, len(tokens), sum(map(len, tokens)), int((kinds < 2).sum()) >= PACKED_TOKENS * (text.count("\n") + 1), own, len(names), sets, _id_of(forms) if len(forms) else None,
+                        forms.view(np.int32).tolist(), band_keys(forms.astype(np.uint64), FORM_BANDS, FORM_ROWS) if len(forms) else [], pieces_of(tokens, masked, kinds.tolist(), cuts)))
+                    held += len(tokens)
+                    if held > 500_000:
+                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
     return run
 
@@ -164,54 +300,70 @@ def several_files(files: DataFrame) -> DataFrame:
     return sets.join(family, "id", "left_semi").select(*own)
 
 
+def piece_families(features: DataFrame) -> DataFrame:
+    """``file, literal, family, weight`` of the pieces that stand in a family of their file: linked by a similarity of 0.8 or more to pieces of it that make eight with them. ``family`` is the least linked set's id."""
+    pieces = features.select("file", F.explode("pieces").alias("p")).select("file", "p.*")
+    pieces = written(pieces.withColumn("key", F.xxhash64("file", "literal", "id")), "pieces")
+    sets = pieces.select(F.col("key").alias("id"), "shingles", F.transform("bands", lambda x: F.xxhash64("file", "literal", x)).alias("bands"))
+    links = written(near_duplicates(sets), "piece_links")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = pieces.select("key", "id", "n")
+    near = ends.join(counts.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"), F.min("id").alias("least"))
+    around = pieces.select("key", "file", "literal", "id", "n", "weight").join(near, "key", "left")
+    return around.where(F.col("n") + F.coalesce("others", F.lit(0)) >= FAMILY_PIECES).select("file", "literal", F.least("id", F.coalesce("least", "id")).alias("family"), "weight")
+
+
 def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = True) -> DataFrame:
-    """``file, language, origin, class_id, n_links``: ``generated``, ``minified``, ``data``, ``vendored`` or ``own`` for every file in julia, cpp, python or javascript.
+    """``file, language, origin, class_id, n_links, family_share``: ``generated``, ``minified``, ``data``, ``vendored`` or ``own`` for every file in julia, cpp, python or javascript.
+
+    data: nine tenths of the file's characters stand in families (:func:`piece_families`) of pieces that are literals only; generated: half of its tokens in families of other pieces, or it is of a
+    family of files of its repository (:func:`several_files`); such a file is ``minified`` if its lines are packed, and so is one that is packed without repeating itself, which has no link to show.
+    vendored: none of these, and similar to a file of another repository, unless it is the original: three or more of its names, and a tenth of all, begin with the name of its own repository, and
+    no file similar to it bears out another repository in that way. Files of less than 32 shingles are similar if all their tokens, twenty or more, are equal.
 
-    class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files by their forms with literals masked; n_links: distinct similar sets besides its own.
-    A file similar to one of another repository is vendored unless it is the original: three or more of its names, and a tenth of all, begin with the name of its own repository, and no file similar
-    to it bears out another repository in that way. Sets of fewer than 32 shingles are too short for similarity: such files are copies where all their tokens, twenty or more, are equal. What isn't vendored and of a family of several files (:func:`several_files`) is generated, or data where it is literals only. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
+    class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files the family that holds most of them;
+    n_links: distinct similar sets besides its own; family_share: the share of its tokens (data: of its characters) in families. Comments count for nothing, so notices don't decide.
+    Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
     """
     features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(), FEATURES), "features")
-    packed = (F.col("line_length") >= LINE_LENGTH) & (F.col("n_tokens") >= LEAST_TOKENS)
-    data = (F.col("literal_share") >= LITERAL_SHARE) & (F.col("literal_chars") >= LEAST_DATA) & (F.col("prose") < 0.08)
-    family = (F.col("repeated") <= REPEATED) & (F.col("n_forms") <= FORMS) & (F.col("n_tokens") >= LEAST_TOKENS)
-    alone = F.when(data, "data").when(packed, "minified").when(family, "generated")
-    judged = features.withColumn("alone", alone)
-    # sets of files that are judged on themselves need no links; equal sets are one class
-    set_id = lambda c: F.xxhash64(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
-    ids = set_id("shingles")
+    # families of pieces within a file
+    totals = piece_families(features).groupBy("file", "literal", "family").agg(F.sum("weight").alias("weight")).groupBy("file").agg(
+        F.sum(F.when(F.col("literal"), F.col("weight"))).alias("literals"), F.sum(F.when(~F.col("literal"), F.col("weight"))).alias("tokens"),
+        F.max_by("family", F.when(F.col("literal"), F.struct("weight", "family"))).alias("data_family"), F.max_by("family", F.when(~F.col("literal"), F.struct("weight", "family"))).alias("code_family"))
+    # whole files; equal sets are one
     named_own = (F.col("own_names") >= OWN_NAMES) & (F.col("own_names") >= OWN_SHARE * F.col("n_names"))
-    rest = judged.where("alone is null and n_shingles >= 1").withColumn("id", ids).withColumn("claim", F.when(named_own, F.col("repository")))
-    sets = written(rest.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.min("claim").alias("c1"), F.max("claim").alias("c2"), F.first("n_shingles").alias("n_shingles")), "sets")
-    links = written(near_duplicates(sets.where(F.col("n_shingles") >= LEAST_SHINGLES)), "links")
+    files = features.select("file", "repository", F.when(named_own, F.col("repository")).alias("claim"), F.explode("sets").alias("s")).select("file", "repository", "claim", "s.*")
+    files = files.withColumn("id", F.xxhash64("masked", "id"))
+    sets = written(files.groupBy("id").agg(
+        F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("masked").alias("masked"),
+        F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.min("claim").alias("c1"), F.max("claim").alias("c2")), "sets")
+    links = written(near_duplicates(sets), "links")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2", "c1", "c2"), "b").groupBy(F.col("a").alias("id")).agg(F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.min("c1").alias("m1"), F.max("c2").alias("m2"), F.count("*").alias("n_links"))
-    reach = sets.select("id", "r1", "r2", "c1", "c2").join(reach, "id", "left").select("id", F.least("c1", "m1").alias("first_claim"), F.greatest("c2", "m2").alias("last_claim"), F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    original = F.col("claim").isNotNull() & (F.col("first_claim") == F.col("last_claim"))
-    short = (F.col("n_shingles") < LEAST_SHINGLES) & (F.col("n_tokens") >= LEAST_COPY)
-    copies = rest.where(short).groupBy("exact").agg(F.min("repository").alias("x1"), F.max("repository").alias("x2")).where("x1 < x2").select("exact", F.lit(True).alias("copied"))
-    elsewhere = F.when(F.col("n_shingles") >= LEAST_SHINGLES, F.col("lo") < F.col("hi")).otherwise(short & F.coalesce("copied", F.lit(False))) & ~F.coalesce(original, F.lit(False))
-    formed = rest.where(F.col("n_forms") >= LEAST_SHINGLES).withColumn("form_id", set_id("form_set"))
-    several = several_files(formed).withColumn("of_several", F.lit(True))
-    linked = rest.withColumn("form_id", set_id("form_set")).join(several, ["repository", "form_id"], "left").join(reach, "id").join(copies, "exact", "left")
-    origin = F.when(elsewhere, "vendored").when(F.col("of_several") & (F.col("literal_share") >= LITERAL_SHARE), "data").when(F.col("of_several"), "generated").otherwise("own")
-    linked = linked.select("file", "language", origin.alias("origin"), F.col("id").alias("set_id"), "n_links")
+    reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2", "c1", "c2"), "b").groupBy(F.col("a").alias("id")).agg(
+        F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.min("c1").alias("m1"), F.max("c2").alias("m2"), F.count("*").alias("n_links"))
+    reach = sets.select("id", "r1", "r2", "c1", "c2").join(reach, "id", "left").select(
+        "id", F.least("c1", "m1").alias("first_claim"), F.greatest("c2", "m2").alias("last_claim"), F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = reach.select("id", F.col("id").alias("class_id"))
     if with_classes:
-        named = components(links)
-        linked = linked.join(named, linked["set_id"] == named["node"], "left").select("file", "language", "origin", F.coalesce("component", "set_id").alias("class_id"), "n_links")
-    else:
-        linked = linked.select("file", "language", "origin", F.col("set_id").alias("class_id"), "n_links")
-    members = judged.where("alone is not null").select("file", "language", F.col("alone").alias("origin"), set_id("form_set").alias("set_id"), "form_set", "form_bands")
-    families = members.select("file", "language", "origin", F.col("set_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    if with_classes:  # families by the forms alone, literals masked; equal sets of forms are one, so a generator's many files are few sets
-        forms = written(members.groupBy("origin", F.col("set_id").alias("id")).agg(F.first("form_set").alias("shingles"), F.first("form_bands").alias("bands")).dropDuplicates(["id"]), "forms")
-        alike = written(near_duplicates(forms), "alike")
-        degree = alike.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
-        named = components(alike).withColumnRenamed("node", "set_id")
-        families = members.join(named, "set_id", "left").join(degree, "set_id", "left").select(
-            "file", "language", "origin", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    empty = judged.where("alone is null and n_shingles < 1").select("file", "language", F.lit("own").alias("origin"), F.lit(None).cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return linked.unionByName(families).unionByName(empty)
+        found = components(links)
+        named = reach.join(found, reach["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("class_id"))
+    original = F.coalesce(F.col("claim").isNotNull() & (F.col("first_claim") == F.col("last_claim")), F.lit(False))
+    spread = files.select("file", "id", "claim").join(reach, "id").join(named, "id").groupBy("file").agg(
+        F.bool_or((F.col("lo") < F.col("hi")) & ~original).alias("elsewhere"), F.max("n_links").alias("n_links"), F.min("class_id").alias("class_id"))
+    # families of files within a repository
+    formed = features.where(F.size("form_set") >= MASKED_FROM).select("repository", "form_id", "form_set", "form_bands")
+    several = several_files(formed).withColumn("of_several", F.lit(True))
+
+    share = F.coalesce(F.col("tokens") / F.col("n_tokens"), F.lit(0.0))
+    literals = F.coalesce(F.col("literals") / F.col("n_chars"), F.lit(0.0))
+    data, repeats = literals >= LITERAL_SHARE, (share >= FAMILY_SHARE) | F.coalesce("of_several", F.lit(False))
+    origin = F.when(data, "data").when(F.col("packed"), "minified").when(share >= FAMILY_SHARE, "generated").when(F.col("elsewhere"), "vendored").when(repeats, "generated").otherwise("own")
+    judged = features.select("file", "language", "repository", "n_tokens", "n_chars", "packed", "form_id").join(totals, "file", "left").join(spread, "file", "left").join(several, ["repository", "form_id"], "left")
+    judged = judged.withColumn("origin", origin)
+    family = F.when(F.col("origin") == "data", F.col("data_family")).when(F.col("origin").isin("generated", "minified"), F.coalesce("code_family", F.xxhash64("repository", "form_id")))
+    return judged.select(
+        "file", "language", "origin", F.coalesce(family, "class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.round(F.when(F.col("origin") == "data", literals).otherwise(share), 6).alias("family_share"))
 
 
 def foreign_files(code: DataFrame, languages: DataFrame) -> DataFrame:
