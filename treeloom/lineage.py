@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a folder of our own, which is then recorded in the session."""
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset and the master is local (tests, one machine) a folder of our own, which is then recorded in the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: a cluster's machines need a folder they share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-treeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -22,6 +24,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/treeloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours below the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again: later plans start there, also after the loss of an executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
