@@ -36,3 +36,15 @@ def test_splits_against_brute_force(spark):
 
 def test_empty(spark):
     assert term_frequencies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hot_groups_are_split(spark):
+    """One term without nodes, one term of one node in many files, and copies of one row: no part exceeds the bound, nothing counts twice."""
+    from treeloom.llm import terms
+
+    rows = [(f"f{i}", None, "hot", "call") for i in range(700)] + [(f"f{i}", "n1", "hot", "call") for i in range(600)] + [("f", "n2", "copy", "call")] * 500 + [("f", f"n{i}", "x", "call") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts, n_parts = terms.radix_partitions(terms.counting_rows(df), df.count(), 60)
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) <= n_parts
+    assert {tuple(r) for r in term_frequencies(df, partition_rows=60).collect()} == brute(rows)

@@ -1,27 +1,28 @@
 """Frequency of every distinct term, by radix partitions that are split until each is small.
 
 Terms go to partitions by bits of their hash; a partition above its bound is split by further
-bits, and one that holds a single term by bits of the record's hash. Each partition is then
-aggregated out of core by DuckDB, which reads the rows as a stream and spills to the shared folder.
+bits, one that holds a single term by bits of the node's hash, and one of a single node by bits of the row's. Each
+partition is then aggregated by a DuckDB of its own, which spills to the shared folder; its rows never exceed the bound.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeloom.lineage import scratch, written
 
 RARE_BELOW, COMMON_SHARE = 3, 0.2
-PARTITION_ROWS, SPLIT_BITS, DUCKDB_MEMORY = 250_000, 4, "300MB"
-COUNTED = "symbol string, kind string, occurrences bigint, nodes bigint"
+PARTITION_ROWS, SPLIT_BITS, PARTS_PER_TASK, DUCKDB_MEMORY = 250_000, 4, 4, "300MB"
+COUNTED = "base string, symbol string, kind string, occurrences bigint, nodes bigint"
 
 
 @F.arrow_udf(T.StringType())
@@ -35,68 +36,56 @@ def composed(values: pa.Array) -> pa.Array:
 
 
 def counting_rows(symbols: DataFrame) -> DataFrame:
-    """Rows that count, cleaned, with two hashes of the row as it stands by which exact duplicates are told."""
+    """``symbol, kind, n1, n2, r`` of the rows that count: cleaned, two hashes of the node (null for none), and one of the row as it stands, by which exact duplicates are told."""
     raw = [F.coalesce(c, F.lit("\u0000")) for c in ("file", "node_id", "symbol", "kind")]
-    rows = symbols.select(
-        composed("symbol").alias("symbol"), F.lower(composed("kind")).alias("kind"), "node_id",
-        F.xxhash64(*raw).alias("r1"), F.xxhash64(F.lit(1), *raw).alias("r2"))
+    node = lambda seed: F.when(F.col("node_id").isNotNull(), F.xxhash64(F.lit(seed), "node_id"))
+    rows = symbols.select(composed("symbol").alias("symbol"), F.lower(composed("kind")).alias("kind"), node(1).alias("n1"), node(2).alias("n2"), F.xxhash64(*raw).alias("r"))
     return rows.where("symbol <> '' and kind in ('call', 'var_ref')")
 
 
-def _count_stream(spill: str | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_part(spill: str | None) -> Callable[[pa.Table], pa.Table]:
+    def run(part: pa.Table) -> pa.Table:
         import duckdb
 
-        first = next(batches, None)
-        if first is None:
-            return
-        con = duckdb.connect(config={"memory_limit": DUCKDB_MEMORY, "threads": 1} | ({"temp_directory": spill} if spill else {}))
-
-        def stream():
-            yield first
-            yield from batches
-
-        con.register("part", pa.RecordBatchReader.from_batches(first.schema, stream()))
+        con = duckdb.connect(config={"memory_limit": DUCKDB_MEMORY, "threads": 1, "temp_directory": spill or ""})  # without a folder that all machines share it must do in memory
+        con.register("part", part)
         found = con.sql("""
-            select symbol, kind, count(*) as occurrences, count(distinct node_id) as nodes
-            from (select distinct symbol, kind, node_id, r1, r2 from part) group by symbol, kind""")
-        schema = pa.schema([("symbol", pa.string()), ("kind", pa.string()), ("occurrences", pa.int64()), ("nodes", pa.int64())])
-        for batch in found.to_arrow_reader(10_000):
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+            select any_value(base) as base, symbol, kind, sum(n)::bigint as occurrences, count(n1) as nodes
+            from (select split_part(any_value(part), '~', 1) as base, symbol, kind, n1, n2, count(distinct r) as n from part group by symbol, kind, n1, n2) group by symbol, kind""")
+        out = found.to_arrow_table() if hasattr(found, "to_arrow_table") else found.arrow()
         con.close()
+        return out
 
     return run
 
 
-def radix_partitions(rows: DataFrame, key: Column, inner: Column, partition_rows: int, first_bits: int) -> DataFrame:
-    """``rows`` with a column ``part``: partitions of at most ``partition_rows`` rows each, as far as ``key`` and then ``inner`` (hashes) can split them.
+def radix_partitions(rows: DataFrame, n_rows: int, partition_rows: int) -> tuple[DataFrame, int]:
+    """``rows`` with a column ``part``, and how many parts there are: of at most ``partition_rows`` rows each.
 
-    Only partitions above the bound are written again; rows for one partition come from many tasks, so that none has to hold a frequent term.
+    n_rows: how many rows there are at most. A part's name has the digits of its term, after a dot those of its node, after a tilde those of its rows; what is then still too large are
+    copies of one row, which are counted once here. Only parts above the bound are written again; rows for one part come from many tasks, so that none has to hold a frequent term.
     """
-    digits = -(-first_bits // SPLIT_BITS)
-    rows = rows.select("*", key.alias("_k"), inner.alias("_i"))
-
-    part = F.concat(*[F.hex(F.expr(f"shiftrightunsigned(_k, {60 - SPLIT_BITS * d}) & 15")) for d in range(digits)]) if digits else F.lit("")
-    now = written(rows.withColumn("part", part).withColumn("level", F.lit(digits)).withColumn("inner_level", F.lit(0)), "radix")
-    done = []
+    digits = max(0, math.ceil(math.log2(max(1, n_rows / partition_rows)) / SPLIT_BITS))
+    hashes = {"k": F.xxhash64("symbol", "kind"), "i": F.xxhash64(F.lit(3), "n1", "n2", F.when(F.col("n1").isNull(), F.col("r"))), "j": F.xxhash64(F.lit(4), "r")}
+    digit = lambda c, level: F.hex(F.expr(f"shiftrightunsigned(_{c}, greatest({64 - SPLIT_BITS} - {SPLIT_BITS} * {level}, 0)) & {2 ** SPLIT_BITS - 1}"))
+    hashed = rows.select("*", *[h.alias(f"_{c}") for c, h in hashes.items()])
+    now = written(hashed.select("*", F.concat(F.lit(""), *[digit("k", d) for d in range(digits)]).alias("part"), F.lit(digits).alias("_level")), "radix")
+    done, n_parts = [], 0
     while True:
-        sizes = now.groupBy("part").agg(F.count("*").alias("n"), (F.min("_k") == F.max("_k")).alias("one_term"), (F.min("_i") == F.max("_i")).alias("one_record"))
-        large = written(sizes.where((F.col("n") > partition_rows) & ~(F.col("one_term") & F.col("one_record"))).select("part", "one_term"), "large")
+        one = [(F.min(f"_{c}") == F.max(f"_{c}")).alias(f"one_{c}") for c in hashes]
+        sizes = written(now.groupBy("part").agg(F.count("*").alias("n"), *one), "sizes")
+        large = sizes.where(F.col("n") > partition_rows)
+        n_parts += sizes.count()
         if large.isEmpty():
-            return _all([*done, now.select(*rows.columns, "part")]).drop("_k", "_i")
+            return reduce(DataFrame.unionByName, [*done, now.select(*rows.columns, "part")]), n_parts
         done.append(now.join(large, "part", "left_anti").select(*rows.columns, "part"))
-        by_term = F.expr(f"hex(shiftrightunsigned(_k, greatest(60 - {SPLIT_BITS} * level, 0)) & 15)")
-        by_record = F.expr(f"concat('.', hex(shiftrightunsigned(_i, greatest(60 - {SPLIT_BITS} * inner_level, 0)) & 15))")
-        split = now.join(large, "part").withColumn("part", F.concat("part", F.when(F.col("one_term"), by_record).otherwise(by_term)))
-        split = split.withColumn("level", F.when(F.col("one_term"), F.col("level")).otherwise(F.col("level") + 1)).withColumn("inner_level", F.when(F.col("one_term"), F.col("inner_level") + 1).otherwise(F.col("inner_level")))
-        now = written(split.drop("one_term"), "radix")
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        split = now.join(large.drop("n"), "part")
+        done.append(split.where("one_k and one_i and one_j").select(*rows.columns, "part").distinct())  # the copies fall together before they are shuffled
+        named = lambda c, mark: F.struct(F.concat("part", F.when(F.contains("part", F.lit(mark)), "").otherwise(mark), digit(c, "_level")).alias("part"), (F.col("_level") + 1).alias("level"))
+        first = lambda mark: F.when(F.contains("part", F.lit(mark)), F.col("_level")).otherwise(0)
+        split = split.where("not (one_k and one_i and one_j)").withColumn("_level", F.when(~F.col("one_k"), F.col("_level")).when(~F.col("one_i"), first(".")).otherwise(first("~")))
+        by = F.when(~F.col("one_k"), named("k", "")).when(~F.col("one_i"), named("i", ".")).otherwise(named("j", "~"))
+        now = written(split.withColumn("by", by).select(*rows.columns, *[f"_{c}" for c in hashes], F.col("by.part").alias("part"), F.col("by.level").alias("_level")), "radix")
 
 
 def term_frequencies(symbols: DataFrame, rare_below: int = RARE_BELOW, common_share: float = COMMON_SHARE, partition_rows: int = PARTITION_ROWS) -> DataFrame:
@@ -107,12 +96,14 @@ def term_frequencies(symbols: DataFrame, rare_below: int = RARE_BELOW, common_sh
     nor do nulls in these; node ids needn't be known. An empty table gives no rows; other columns are ignored.
     """
     spark = symbols.sparkSession
-    rows = written(counting_rows(symbols), "counting")
-    n_rows, n_nodes = rows.count(), rows.select("node_id").where("node_id is not null").distinct().count()
-    bits = max(0, math.ceil(math.log2(max(1, n_rows / partition_rows))))
-    parts = radix_partitions(rows, F.xxhash64("symbol", "kind"), F.xxhash64(F.lit(3), "node_id"), partition_rows, bits)
+    parts, n_parts = radix_partitions(counting_rows(symbols), symbols.count(), partition_rows)
+    n_nodes = parts.select("n1", "n2").where("n1 is not null").distinct().count()
     spill = scratch(spark, "duckdb")
-    counted = parts.repartition("part").drop("part").mapInArrow(_count_stream(spill.removeprefix("file://") if spill.startswith(("file://", "/")) else None), COUNTED)
-    total = counted.groupBy("symbol", "kind").agg(F.sum("occurrences").alias("occurrences"), F.sum("nodes").alias("nodes"))  # parts of a split term have no node in common
+    local = spill.removeprefix("file://") if spill.startswith(("file://", "/")) else None
+    tasks = max(min(n_parts, spark.sparkContext.defaultParallelism), -(-n_parts // PARTS_PER_TASK), 1)
+    counted = parts.repartition(tasks, "part").groupBy("part").applyInArrow(_count_part(local), COUNTED)
+    # parts of one node differ in their rows only, so the node counts once; other parts of a term have no node in common
+    by_node = counted.groupBy("symbol", "kind", "base").agg(F.sum("occurrences").alias("occurrences"), F.max("nodes").alias("nodes"))
+    total = by_node.groupBy("symbol", "kind").agg(F.sum("occurrences").alias("occurrences"), F.sum("nodes").alias("nodes"))
     mark = F.when(F.col("nodes") < rare_below, "rare").when(F.col("nodes") > common_share * n_nodes, "common")
     return total.withColumn("mark", mark)
