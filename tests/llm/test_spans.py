@@ -51,3 +51,25 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.shared_spans(df)[0].count() == 0
     assert spans.shared_amounts(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string")).collect()[0].share == 0.0
+
+
+def test_compaction_and_reopening(spark):
+    """Runs are merged level by level, a stored index goes on where it ended, and nothing stays in the catalogue."""
+    rng, least = random.Random(9), 30
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = make(50)
+    texts = {i: make(40) + (part if i % 3 == 0 else "") + make(20) for i in range(40)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tables = spark.catalog.listTables()
+    index, got = spans.SpanIndex(spark, least, fanout=2), set()
+    for k in range(5):
+        if k == 3:
+            index.close()
+            index = spans.SpanIndex.open(spark, index.folder)
+        pairs, _ = index.add(df.where(f"doc_id % 5 = {k}"))
+        got |= {tuple(r) for r in pairs.collect()}
+        levels = sorted(level for kind, level, _ in index.runs if kind == "run")
+        assert len(levels) == bin(k + 1).count("1")  # as a counter in base two
+    assert got == brute(texts, least)
+    index.discard()
+    assert spark.catalog.listTables() == tables

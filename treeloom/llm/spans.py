@@ -3,25 +3,29 @@
 A record is fingerprinted by the smallest hash in every window of hashes, so that two records that
 share a span of the least length share a fingerprint at the same place of it. Fingerprints live in
 immutable runs sorted by hash; a new batch is merge-joined with the runs before it, what meets is
-verified on the text, and runs are compacted when there are too many.
+verified on the text, and runs of a level are compacted into one of the next when there are enough.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.lineage import scratch, written
+from treeloom.lineage import removed, scratch, written
 
 MIN_LENGTH = 300
 BASE = 0x9E3779B97F4A7C15
 BACK = pow(BASE, -1, 1 << 64)
-LARGE_GROUP, PART_DOCS = 64, 1_000
+LARGE_GROUP, PART_DOCS, BATCH_ROWS = 64, 1_000, 5_000
+FINGERPRINTS, TEXTS = "h bigint, doc_id bigint, pos int", "doc_id bigint, text string"
+MANIFEST = "version int, least int, fanout int, buckets int, n int, kind string, level int, path string"
 
 
 class Powers:
@@ -77,14 +81,10 @@ def fingerprints(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprint(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, hashes, places = [], [], []
             for id_, text in zip(batch["doc_id"].tolist(), batch["text"]):
                 h, at = fingerprints(text, least)
-                ids.append(np.full(len(at), id_, np.int64))
-                hashes.append(h.view(np.int64))
-                places.append(at.astype(np.int32))
-            if ids:
-                yield pd.DataFrame({"h": np.concatenate(hashes), "doc_id": np.concatenate(ids), "pos": np.concatenate(places)})
+                if len(h):
+                    yield pd.DataFrame({"h": h.view(np.int64), "doc_id": np.full(len(at), id_, np.int64), "pos": at.astype(np.int32)})
 
     return run
 
@@ -99,7 +99,10 @@ def _contexts(least: int):
                 for a in at:
                     start = max(0, a["pos"] - (least - width))
                     rows.append((a["h"], id_, a["pos"], a["pos"] - start, text[start:a["pos"] + least], a["fresh"]))
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "pos", "left", "context", "fresh"])
+                    if len(rows) >= BATCH_ROWS:
+                        yield pd.DataFrame(rows, columns=CONTEXT_COLUMNS)
+                        rows = []
+            yield pd.DataFrame(rows, columns=CONTEXT_COLUMNS)
 
     return run
 
@@ -145,62 +148,113 @@ def _match_groups(least: int):
     return run
 
 
+CONTEXT_COLUMNS = ["h", "doc_id", "pos", "left", "context", "fresh"]
 PAIR_COLUMNS = ["doc_id_a", "doc_id_b", "start_a", "start_b", "length"]
 PAIRS = "doc_id_a bigint, doc_id_b bigint, start_a int, start_b int, length int"
 
 
 def _window_keys(least: int):
-    """Every window of the least length around a fingerprint, as two hashes: for fingerprints that very many records have."""
+    """Every window of the least length around a fingerprint, as the two halves of a cryptographic digest of its text: for fingerprints that very many records have."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for id_, pos, left, context, fresh in zip(batch["doc_id"].tolist(), batch["pos"].tolist(), batch["left"].tolist(), batch["context"], batch["fresh"].tolist()):
-                one = window_hashes(context, least).view(np.int64)
-                two = window_hashes(context[::-1], least)[::-1].view(np.int64)
-                rows.extend((int(x), int(y), id_, pos - left + k, fresh) for k, (x, y) in enumerate(zip(one, two)))
+                points = context.encode("utf-32-le", "surrogatepass")
+                for k in range(len(context) - least + 1):
+                    digest = blake2b(points[4 * k:4 * (k + least)], digest_size=16).digest()
+                    rows.append((int.from_bytes(digest[:8], signed=True), int.from_bytes(digest[8:], signed=True), id_, pos - left + k, fresh))
+                if len(rows) >= 10 * BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=["w1", "w2", "doc_id", "start", "fresh"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["w1", "w2", "doc_id", "start", "fresh"])
 
     return run
 
 
 class SpanIndex:
-    """Immutable runs of fingerprints; ``add`` takes a batch of records and returns what it shares with itself and with all records before.
+    """Immutable runs of fingerprints, and the texts they are of, below one folder; :meth:`add` takes a batch of records and returns what it shares with itself and with all records before.
 
-    fanout: runs from which all are compacted into one. buckets: files of a run, by hash; runs of equal buckets are joined without a shuffle.
+    fanout: runs of a level that are compacted into one of the next, so a fingerprint is rewritten once a level. buckets: files of a run, by hash; runs of equal buckets are joined without a shuffle.
+    A manifest of the runs is written after each batch; :meth:`open` goes on from the last one. Each record enters once.
     """
 
-    def __init__(self, spark, least: int = MIN_LENGTH, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark, least: int = MIN_LENGTH, fanout: int = 2, buckets: int | None = None, folder: str | None = None):
         self.spark, self.least, self.fanout = spark, least, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[DataFrame] = []
+        self.folder = folder or scratch(spark, "spans")
+        self.version, self.runs, self.tables = 0, [], {}  # runs: (kind, level, path); tables: path -> name in the catalogue
 
-    def _run(self, rows: DataFrame) -> DataFrame:
-        name = f"treeloom_run_{uuid.uuid4().hex[:12]}"
-        rows.repartition(self.buckets, "h").write.option("path", scratch(self.spark, name)).option("compression", "zstd").bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
-        return self.spark.table(name)
-
-    def add(self, batch: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``batch`` and ``texts`` (all records so far, the batch among them) have ``doc_id, text``, one row per record. Returns the pairs (with one common span per fingerprint) and the spans of each record found elsewhere."""
-        new = self._run(batch.where(F.length("text") >= self.least).mapInPandas(_fingerprint(self.least), "h bigint, doc_id bigint, pos int"))
+    @classmethod
+    def open(cls, spark, folder: str) -> SpanIndex:
+        """The index a folder holds, as of its last complete batch."""
+        every = spark.read.schema(MANIFEST).json(f"{folder}/manifest-*")
+        rows = [r for r in every.orderBy("n").collect()]  # a row a run, whose number grows with the logarithm of the records
+        last = [r for r in rows if r.version == max(x.version for x in rows)]
+        index = cls(spark, last[0].least, last[0].fanout, last[0].buckets, folder)
+        index.version = last[0].version
+        for r in last:
+            index.runs.append((r.kind, r.level, r.path))
+        return index
+
+    def _table(self, kind: str, path: str) -> DataFrame:
+        if path not in self.tables:
+            name, key = f"treeloom_{uuid.uuid4().hex[:12]}", "h" if kind == "run" else "doc_id"
+            self.spark.sql(f"create table {name} ({FINGERPRINTS if kind == 'run' else TEXTS}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{path}'")
+            self.tables[path] = name
+        return self.spark.table(self.tables[path])
+
+    def _stored(self, kind: str, rows: DataFrame) -> str:
+        key, name, path = "h" if kind == "run" else "doc_id", f"treeloom_{uuid.uuid4().hex[:12]}", f"{self.folder}/{kind}-{uuid.uuid4().hex[:12]}"
+        rows.repartition(self.buckets, key).write.option("path", path).option("compression", "zstd").bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
+        self.tables[path] = name
+        return path
+
+    def _drop(self, path: str) -> None:
+        self.spark.sql(f"drop table if exists {self.tables.pop(path)}")
+        removed(self.spark, path)
+
+    def close(self) -> None:
+        """Takes the index's tables out of the session's catalogue; its folder stays."""
+        for name in self.tables.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self.tables.clear()
+
+    def discard(self) -> None:
+        self.close()
+        removed(self.spark, self.folder)
+
+    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``batch`` has ``doc_id, text``, one row per record. Returns the pairs (with one common span per fingerprint) and the spans of each record found elsewhere; both stay good when the index is closed or discarded."""
+        own = self._stored("text", batch.where(F.length("text") >= self.least).select("doc_id", "text"))
+        path = self._stored("run", self._table("text", own).mapInPandas(_fingerprint(self.least), FINGERPRINTS))
+        new, before = self._table("run", path), [self._table("run", p) for kind, _, p in self.runs if kind == "run"]
         held = new.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        shared = held.where("lo < hi").select("h")
-        for run in self.runs:
-            shared = shared.unionByName(held.join(run, "h", "left_semi").select("h"))
-        shared = shared.distinct()
-        hits = new.join(shared, "h", "left_semi").withColumn("fresh", F.lit(True))
-        for run in self.runs:
-            hits = hits.unionByName(run.join(shared, "h", "left_semi").withColumn("fresh", F.lit(False)))
-        places = hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "fresh")).alias("at"))
-        around = written(texts.join(places, "doc_id").mapInPandas(_contexts(self.least), "h bigint, doc_id bigint, pos int, left int, context string, fresh boolean"), "contexts")
-        self.runs.append(new)
-        if len(self.runs) > self.fanout:
-            every = self.runs[0]
-            for run in self.runs[1:]:
-                every = every.unionByName(run)
-            self.runs = [self._run(every)]
+        shared = reduce(DataFrame.unionByName, [held.where("lo < hi").select("h"), *[held.join(run, "h", "left_semi").select("h") for run in before]]).distinct()
+        fresh = new.join(shared, "h", "left_semi").withColumn("fresh", F.lit(True))
+        hits = reduce(DataFrame.unionByName, [fresh, *[run.join(shared, "h", "left_semi").withColumn("fresh", F.lit(False)) for run in before]])
+        places = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("h", "pos", "fresh")).alias("at")), "places")
+        self.runs += [("text", 0, own), ("run", 0, path)]
+        texts = [self._table("text", p) for kind, _, p in self.runs if kind == "text"]  # by buckets of the id: only the places are shuffled to them
+        contexts = [t.join(places, "doc_id").mapInPandas(_contexts(self.least), "h bigint, doc_id bigint, pos int, left int, context string, fresh boolean") for t in texts]
+        around = written(reduce(DataFrame.unionByName, contexts), "contexts")
+        self._compact()
         return self._verified(around)
 
+    def _compact(self) -> None:
+        """Runs of a level become one of the next where there are enough of them; then the manifest, then the old runs go."""
+        old, level = [], 0
+        while len(full := [r for r in self.runs if r[:2] == ("run", level)]) >= self.fanout:
+            merged = self._stored("run", reduce(DataFrame.unionByName, [self._table("run", p) for _, _, p in full]))
+            self.runs = [r for r in self.runs if r not in full] + [("run", level + 1, merged)]
+            old += [p for _, _, p in full]
+            level += 1
+        self.version += 1
+        rows = [(self.version, self.least, self.fanout, self.buckets, n, *r) for n, r in enumerate(self.runs)]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{self.folder}/manifest-{self.version:06d}")
+        for path in old:
+            self._drop(path)
+
     def _verified(self, around: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = written(around.groupBy("h").count().where(F.col("count") > LARGE_GROUP).select("h"), "large")
         small = around.join(large, "h", "left_anti").repartition("h").sortWithinPartitions("h")
@@ -222,19 +276,19 @@ class SpanIndex:
         return pairs.select("doc_id_a", "doc_id_b").unionByName(more), spans.unionByName(found)
 
 
-def shared_spans(documents: DataFrame, least: int = MIN_LENGTH, batches: int = 2, **how) -> tuple[DataFrame, DataFrame]:
+def shared_spans(documents: DataFrame, least: int = MIN_LENGTH, batches: int = 3, **how) -> tuple[DataFrame, DataFrame]:
     """Pairs of records that share a run of ``least`` or more code points, ``doc_id_a < doc_id_b`` each once; and ``doc_id, start, length`` of spans that stand elsewhere too.
 
     documents: ``doc_id, text``; exact duplicates count once, of several texts for one id the greatest holds; rows without id or text, and texts shorter than ``least``, share nothing.
-    The records enter the index in ``batches`` by a hash of their id, as deliveries would.
+    The records enter the index in ``batches`` by a hash of their id, as deliveries would; three make it compact once.
     """
     texts = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max("text").alias("text")).where(F.length("text") >= least)
     texts = written(texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "texts")
-    index, pairs, spans = SpanIndex(documents.sparkSession, least, **how), None, None
+    index, found = SpanIndex(documents.sparkSession, least, **how), []
     for k in range(batches):
-        p, s = index.add(texts.where(F.col("batch") == k).select("doc_id", "text"), texts.where(F.col("batch") <= k).select("doc_id", "text"))
-        pairs, spans = (p, s) if pairs is None else (pairs.unionByName(p), spans.unionByName(s))
-    return pairs.distinct(), spans
+        found.append(index.add(texts.where(F.col("batch") == k)))
+    index.discard()
+    return reduce(DataFrame.unionByName, [p for p, _ in found]).distinct(), reduce(DataFrame.unionByName, [s for _, s in found])
 
 
 def _covered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
