@@ -55,6 +55,51 @@ def test_evolution_never_loses(spark):
         assert max(fill.values()) <= 100
 
 
+def test_search_gains_where_best_fit_fails():
+    """Bins cut into three or four pieces each: a packing with five in a thousand free exists, plain best fit misses it, the search comes closer and never loses."""
+    rng, fitted, found, least = random.Random(7), 0, 0, 0
+    for k in range(12):
+        sizes, capacity, bins = [], 1000, 20
+        for _ in range(bins):
+            cuts = sorted(rng.sample(range(150, 850), 2 + k % 2))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 995])]
+        rng.shuffle(sizes)
+        plain, packings = packing.best_fit_bins(sizes, capacity), []
+        for _ in range(packing.EPOCHS):
+            packings = packing.evolve(sizes, capacity, packings, k)
+        best = packing.fitness(packings[0], sizes)[0]
+        assert bins == packing.least_bins(sizes, capacity) <= best <= plain
+        fitted, found, least = fitted + plain, found + best, least + bins
+    assert fitted > least and found - least <= 0.5 * (fitted - least)
+
+
+def test_least_bins_against_all_packings():
+    """The bound never exceeds the best of all packings of a few items."""
+    def best(sizes, capacity):
+        low = len(sizes)
+        def put(k, fill):
+            nonlocal low
+            if len(fill) >= low:
+                return
+            if k == len(sizes):
+                low = len(fill)
+                return
+            for b in range(len(fill)):
+                if fill[b] + sizes[k] <= capacity:
+                    put(k + 1, fill[:b] + [fill[b] + sizes[k]] + fill[b + 1:])
+            put(k + 1, [*fill, sizes[k]])
+        put(0, [])
+        return low
+
+    rng, tight = random.Random(2), 0
+    for _ in range(60):
+        sizes = [rng.randrange(0, 101) for _ in range(rng.randrange(1, 8))]
+        bound, exact = packing.least_bins(sizes, 100), max(1, best(sizes, 100))
+        assert bound <= exact
+        tight += bound == exact
+    assert tight >= 50
+
+
 def test_flow_is_cheapest():
     """An overlap goes to the source that has too little, and repeats are spread before they pile up."""
     patterns = {"a": 100, "b": 10, "a\u0001b": 50}
