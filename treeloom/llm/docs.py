@@ -1,8 +1,7 @@
 """Functions paired with their documentation.
 
-Each function or method row is read into a small tree (comments, decorators, declaration, opening
-string of the body) with exact source ranges; documentation that is attached to the declaration
-and says something is kept.
+Each function or method row is read into a syntax tree (:mod:`treeloom.llm.trees`); the declaration's node, the comments
+attached to it and the string that opens its body give the pair with exact ranges; documentation that says something is kept.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.text import extension
-from treeloom.llm.syntax import languages as grammars
+from treeloom.llm.trees import Node, syntax_tree
 
 LANGUAGES = ["julia", "cpp", "python", "javascript"]
 
@@ -71,111 +70,57 @@ def says_something(doc: str, name: str, parameters: set[str]) -> bool:
     return False
 
 
-def outline(source: str, language: str) -> dict:
-    """The declaration in a function's source: ``above`` (attached comments and strings as start, end, quoted), ``start`` and ``end`` of the declaration with its body, ``body_doc`` (start, end) or None, ``starts_at_once``: nothing but decorators stands between the first line and the declaration."""
-    token, python = grammars()[language].token, language == "python"
-    comment = "#" if language in ("python", "julia") else "/"
-    parts, line, at, decl = [], 0, 0, None
-    in_decorator, depth = False, 0
-    for m in token.finditer(source):
-        t = m.group()
-        line += source.count("\n", at, m.start())
-        at = m.start()
-        last = line + t.count("\n")
-        if t[0] == "\n":
-            if in_decorator and depth <= 0:
-                in_decorator = False
-            continue
-        if t.strip() == "" or t[0] == "\\":
-            continue
-        if t[0] == comment and len(t) > 1 and (comment == "#" or t[1] in "/*") or t == "#":
-            parts.append(("comment", m.start(), m.end(), line, last))
-            continue
-        if in_decorator:
-            depth += t.count("(") + t.count("[") - t.count(")") - t.count("]") if len(t) == 1 else 0
-            if language != "julia" or not re.match(r"function|macro|\w+$", t) or depth > 0:
-                parts[-1] = ("decorator", parts[-1][1], m.end(), parts[-1][3], last)
-                continue
-            in_decorator = False
-        if t[0] == "@" and (python or language in ("javascript", "julia")):
-            parts.append(("decorator", m.start(), m.end(), line, last))
-            in_decorator, depth = True, 0
-            if language == "julia":
-                in_decorator = not re.match(r"[ \t]*(?:function|macro)\b|[ \t]+\w+\(.*\)\s*=", source[m.end():m.end() + 200])
-            continue
-        if t[-1] in "\"'`" and len(t) > 1 and language in ("julia", "python") and decl is None and re.match(r"\w*[\"']", t):
-            parts.append(("string", m.start(), m.end(), line, last))
-            continue
-        if language == "cpp" and t[0] in " \t#":
-            continue
-        decl = (m.start(), line)
-        break
-    if decl is None:
-        return {"above": [], "start": None, "end": len(source), "body_doc": None, "above_line": 0, "signature": ""}
-    above, reach = [], decl[1]
-    for kind, start, end, first, last in reversed(parts):
-        if last < reach - 1 or kind == "string" and language == "python":
-            break
-        if kind != "decorator":
-            above.append((start, end, kind == "string"))
-        reach = first
-    body_doc, signature_end = None, None
-    depth = 0
-    for m in token.finditer(source, decl[0]):
-        t = m.group()
-        if len(t) == 1 and t in "([{":
-            if t == "{" and depth == 0 and language in ("cpp", "javascript"):
-                signature_end = m.start()
-                break
-            depth += 1
-        elif len(t) == 1 and t in ")]}":
-            depth -= 1
-        elif depth <= 0 and (python and t == ":" or language == "julia" and t[0] == "\n"):
-            signature_end = m.start()
+def declared(tree: Node, language: str) -> tuple[Node | None, list[Node], int]:
+    """The node the row is of (its first that is neither a comment, a decorator nor a string), the comments and strings attached to it (directly above, with decorators between but no blank line), and the line at which they begin."""
+    nodes = tree.children
+    at = next((k for k, x in enumerate(nodes) if x.kind in ("function", "class", "statement")), None)
+    if at is None:
+        return None, [], 0
+    above, reach = [], nodes[at].first_line
+    for x in reversed(nodes[:at]):
+        if x.last_line < reach - 1 or x.kind == "string" and language == "python":  # there a string is a statement of its own
             break
-    if signature_end is not None and python:
-        rest = re.compile(r"(?:\s|#[^\n]*\n|\\\n)*").match(source, signature_end + 1).end()
-        m = re.compile(r"(?i:[rbu]{0,2})(?:\"\"\"(?:[^\\]|\\.)*?(?:\"\"\"|\Z)|'''(?:[^\\]|\\.)*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')(?=\s*(?:\n|#|;|\Z))", re.S).match(source, rest)
-        if m:
-            body_doc = (m.start(), m.end())
-    signature = source[decl[0]:signature_end if signature_end is not None else source.find("\n", decl[0]) if "\n" in source[decl[0]:] else len(source)].strip()
-    return {"above": above[::-1], "start": decl[0], "end": len(source), "body_doc": body_doc, "above_line": reach, "signature": signature}
-
-
-def documentation(source: str, before: str | None, language: str, name: str) -> tuple[str, str, str] | None:
-    """The documentation that says something, the declaration with its body, and the signature; None if there is none. ``before`` is a comment that ends on the line before the source."""
-    tree = outline(source, language)
-    if tree["start"] is None:
+        if x.kind != "decorator":
+            above.append(x)
+        reach = x.first_line
+    return nodes[at], above[::-1], reach
+
+
+def documentation(source: str, before: str | None, language: str, name: str) -> tuple | None:
+    """The documentation that says something, the declaration with its body, the signature, and the first and last line of the declaration in the source, from 0; None if there is none. ``before`` is a comment that ends on the line before the source."""
+    node, above, reach = declared(syntax_tree(source, language), language)
+    if node is None:
         return None
+    head = source[node.start:node.head_end if node.head_end is not None else (source.find("\n", node.start) + 1 or len(source) + 1) - 1].strip()
     bare = re.sub(r"\$\d+$", "", name)
-    parameters = {w for w in re.findall(r"[^\W\d]\w*", tree["signature"].partition("(")[2])}
-    texts = [text_of(source[a:b], q) for a, b, q in tree["above"]]
-    if before and tree["above_line"] == 0 and not before.endswith("\n") and before.rsplit("\n", 1)[-1].strip():
+    parameters = {w for w in re.findall(r"[^\W\d]\w*", head.partition("(")[2])}
+    texts = [text_of(source[x.start:x.end], x.kind == "string") for x in above]
+    if before and reach == 0 and not before.endswith("\n") and before.rsplit("\n", 1)[-1].strip():
         quoted = re.search(r'"""(?:[^"\\]|\\.|"(?!""))*"""\s*\Z', before)
         tail = re.split(r"\n[ \t]*\n", before.replace("\r\n", "\n"))[-1]
         texts.insert(0, text_of(quoted.group().strip(), True) if quoted else text_of(tail, False))
     groups = ["\n".join(x for x in texts if x)]
-    if tree["body_doc"]:
-        groups.append(text_of(source[slice(*tree["body_doc"])], True))
+    if language == "python" and node.children and node.children[0].kind == "string":
+        groups.append(text_of(source[node.children[0].start:node.children[0].end], True))
     said = [g for g in groups if g and says_something(g, bare, parameters)]
-    return ("\n".join(said), source[tree["start"]:tree["end"]], tree["signature"]) if said else None
+    return ("\n".join(said), source[node.start:node.end], head, node.first_line, node.last_line) if said else None
 
 
 def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for id_, name, language, source, before in zip(batch["id"], batch["name"], batch["language"], batch["source"], batch["before"]):
+        for id_, name, language, line, source, before in zip(batch["id"], batch["name"], batch["language"], batch["line_start"], batch["source"], batch["before"]):
             found = documentation(source, before if isinstance(before, str) else None, language, name if isinstance(name, str) else "")
             if found:
-                rows.append((id_, language, *found))
-        yield pd.DataFrame(rows, columns=["id", "language", "doc", "code", "signature"])
+                rows.append((id_, language, *found[:3], *(int(line) + x if line == line and line is not None else None for x in found[3:])))
+        yield pd.DataFrame(rows, columns=["id", "language", "doc", "code", "signature", "first_line", "last_line"]).astype({"first_line": "Int32", "last_line": "Int32"})
 
 
 def documented_functions(code: DataFrame, languages: DataFrame) -> DataFrame:
-    """``id, language, doc, code, signature`` of the functions and methods whose documentation says something.
+    """``id, language, doc, code, signature, first_line, last_line`` of the functions and methods whose documentation says something.
 
     The language is that of the file's extension. Documentation stands directly above the declaration in the row's own source (decorators between), in that of its first child
-    if the row has none, in a comment row that ends on the line before, or is the string that opens the body. ``code`` is the declaration with its body as it stands in that source.
+    if the row has none, in a comment row that ends on the line before, or is the string that opens the body. ``code`` is the declaration with its body as it stands in that source, on the given lines of the file (null for a row without ``line_start``).
     Exact duplicates count once; rows without id, file or any source have no pair; ``summary`` is not used.
     """
     names = languages.where(F.col("language").isin(LANGUAGES)).select(F.lower("extension").alias("ext"), "language").distinct()
@@ -187,5 +132,5 @@ def documented_functions(code: DataFrame, languages: DataFrame) -> DataFrame:
     comments = typed.where("kind = 'comment' and source is not null").groupBy("file", (F.col("line_end") + 1).alias("line_start")).agg(F.max("source").alias("before"))
     own = rows.where("source is not null").select("id", "name", "language", "file", "line_start", "source")
     lent = rows.where("source is null").join(children, "id").select("id", "name", "language", "file", "line_start", F.col("child_source").alias("source"))
-    joined = own.unionByName(lent).join(comments, ["file", "line_start"], "left").select("id", "name", "language", "source", "before")
-    return joined.mapInPandas(_pair, "id string, language string, doc string, code string, signature string").distinct()
+    joined = own.unionByName(lent).join(comments, ["file", "line_start"], "left").select("id", "name", "language", "line_start", "source", "before")
+    return joined.mapInPandas(_pair, "id string, language string, doc string, code string, signature string, first_line int, last_line int").distinct()
