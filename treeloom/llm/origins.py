@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from treeloom.functions.text import first_segment
 from treeloom.lineage import written
 from treeloom.llm.files import whole_files
+from treeloom.llm.syntax import languages as grammars
 from treeloom.operators.components import components
 
 LANGUAGES = ["julia", "cpp", "python", "javascript"]
@@ -30,10 +31,10 @@ LANGUAGES = ["julia", "cpp", "python", "javascript"]
 WIDTH, BANDS, BAND_ROWS, FORM_BANDS, FORM_ROWS, PIECE_BANDS, PIECE_ROWS, SIMILAR = 5, 40, 8, 20, 6, 10, 4, 0.8
 #: An original: three names and a tenth of all begin with the name of its repository.
 OWN_NAMES, OWN_SHARE = 3, 0.1
-#: Smaller sets agree by chance once names are masked: such files are compared whole, token by token, if they have this many tokens.
+#: Smaller sets agree by chance once names are masked: such files are compared whole, token by token, if they have this many tokens and are valid in their language (an error page stored in place of a file is no copy of it).
 MASKED_FROM, LEAST_COPY = 32, 20
-#: A family of files of a repository: three or more that are linked by MASKED_FROM forms or more.
-FAMILY_FILES = 3
+#: A family of files of a repository: three or more of MASKED_FROM forms or more, which are alike by nine tenths: names and literals are masked, and a writer's long files have much of the rest in common.
+FAMILY_FILES, FAMILY_SIMILAR = 3, 0.9
 #: A family of pieces: eight or more in one file; half of a file's tokens stand in such pieces if it is generated, nine tenths of its characters in pieces that are literals only if it is data.
 FAMILY_PIECES, FAMILY_SHARE, LITERAL_SHARE = 8, 0.5, 0.9
 #: A piece of code has six tokens or more, one of a literal is a line of it, at most forty characters; packed lines hold 25 tokens on average besides literals and commas.
@@ -45,8 +46,9 @@ KEYWORDS = frozenset(
     "nothing null nullptr None true false True False try catch except finally throw raise switch case default break continue do begin module template namespace typedef enum lambda yield with as and or not is".split())
 STRINGS = r'"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|R"\w*\(.*?\)\w*"|`(?:[^`\\]|\\.)*`|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 REST = r"|\d[\w.]*|[^\W\d]\w*|[^\s\w]"
-# Words that head a declaration of members, and tokens that go on with what an unindented line before them began.
+# Words that head a declaration of members, what stands between literals, and tokens that go on with what an unindented line before them began.
 CONTAINERS = frozenset("class struct namespace module baremodule interface enum union extern trait".split())
+BETWEEN = frozenset("[](){}:;=+-")
 GOES_ON = frozenset("end else elseif elif except finally catch ) ] }".split())
 HASH_COMMENTS = re.compile(STRINGS + r"|#=.*?=#|#[^\n]*|\n[ \t]*" + REST, re.S)
 SLASH_COMMENTS = re.compile(STRINGS + r"|//[^\n]*|/\*.*?\*/" + REST, re.S)
@@ -59,8 +61,7 @@ FEATURES = (
     f"sets {SETS}, form_id bigint, form_set array<int>, form_bands array<bigint>, pieces {PIECES}")
 COLUMNS = ["file", "language", "repository", "n_tokens", "n_chars", "packed", "own_names", "n_names", "sets", "form_id", "form_set", "form_bands", "pieces"]
 _RNG = np.random.default_rng(7)
-_MULTIPLY = _RNG.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 62, BANDS * BAND_ROWS, dtype=np.int64).astype(np.uint64)
+_MULTIPLY, _ADD = _RNG.integers(0, 1 << 31, (2, BANDS * BAND_ROWS), dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 class _Codes(dict):
@@ -102,17 +103,14 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
     """One key per band of MinHash rows."""
     k = bands * rows
-    least = (_mix(values[:, None] * _MULTIPLY[:k] + _ADD[:k])).min(axis=0).reshape(bands, rows)
+    mixed = (_mix(values.astype(np.uint64)) >> np.uint64(16)).astype(np.uint32)
+    least = (mixed[:, None] * _MULTIPLY[:k] + _ADD[:k]).min(axis=0).reshape(bands, rows).astype(np.uint64)
     keys = np.zeros(bands, np.uint64)
     for r in range(rows):
         keys = _mix(keys * np.uint64(31) + least[:, r])
     return (keys ^ np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def _set_of(codes: np.ndarray) -> np.ndarray:
-    return np.unique(shingles(codes).astype(np.uint32))
-
-
 def counted(values: np.ndarray) -> np.ndarray:
     """A set that tells how often each hash occurs: of equal ones each counts with its number. Long files of one style have all their forms in common, but not as often."""
     values = np.sort(values)
@@ -121,6 +119,10 @@ def counted(values: np.ndarray) -> np.ndarray:
     return np.unique(_mix(values * np.uint64(31) + number.astype(np.uint64)).astype(np.uint32))
 
 
+def _set_of(codes: np.ndarray) -> np.ndarray:
+    return np.unique(shingles(codes).astype(np.uint32))
+
+
 def _id_of(values: np.ndarray) -> int:
     """A hash of a set."""
     return int.from_bytes(blake2b(values.tobytes(), digest_size=8).digest(), signed=True)
@@ -169,18 +171,18 @@ def cut_by_braces(tokens: list[str]) -> list[int]:
     return cuts
 
 
-@lru_cache(100_000)
-def _piece(codes: bytes) -> tuple[int, list[int], list[int]]:
-    """Id, set and bands of a piece's codes."""
+@lru_cache(50_000)
+def _piece(codes: bytes) -> tuple[int, np.ndarray]:
+    """Id and set of a piece's codes."""
     values = _set_of(np.frombuffer(codes, np.int64))
-    return _id_of(values), values.view(np.int32).tolist(), band_keys(values.astype(np.uint64), PIECE_BANDS, PIECE_ROWS)
+    return _id_of(values), values
 
 
 def _literal_runs(tokens: list[str], kinds: list[int]) -> Iterator[str]:
     """Stretches of a file that are nothing but literals and what stands between them."""
     run: list[str] = []
     for t, k in zip(tokens, kinds):
-        if k >= 2 or t in "[](){}:;=+-":
+        if k >= 2 or t in BETWEEN:
             run.append(t)
         elif run:
             yield "".join(run)
@@ -191,15 +193,18 @@ def _literal_runs(tokens: list[str], kinds: list[int]) -> Iterator[str]:
 def pieces_of(tokens: list[str], masked: np.ndarray, kinds: list[int], cuts: list[int]) -> list[dict]:
     """``literal, id, n, weight, shingles, bands`` of the distinct pieces of a file: declarations and statements by tokens, lines of literals by characters.
 
-    A file of fewer than eight pieces of a sort has no family of them, so none are returned.
+    Only pieces that may be of a family are returned: eight pieces have sets of a size that a similarity of 0.8 allows; and only if those make up the share of the file that decides something.
     """
     found: dict[tuple, list[int]] = {}
-    for a, b in zip(cuts, [*cuts[1:], len(tokens)]):
-        if b - a >= PIECE_TOKENS:
+    whole = sum(map(len, tokens))
+    spans = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(tokens)]) if b - a >= PIECE_TOKENS]
+    if len(spans) >= FAMILY_PIECES and sum(b - a for a, b in spans) >= FAMILY_SHARE * len(tokens):
+        for a, b in spans:
             seen = found.setdefault((False, masked[a:b].tobytes()), [0, 0])
             seen[0] += 1
             seen[1] += b - a
-    for run in _literal_runs(tokens, kinds):
+    between = sum(len(t) for t, k in zip(tokens, kinds) if k >= 2 or t in BETWEEN)
+    for run in _literal_runs(tokens, kinds) if between >= LITERAL_SHARE * whole else ():
         for line in run.split("\n"):
             for a in range(0, len(line), LITERAL_PIECE):
                 part = line[a:a + LITERAL_PIECE]
@@ -208,15 +213,26 @@ def pieces_of(tokens: list[str], masked: np.ndarray, kinds: list[int], cuts: lis
                     seen = found.setdefault((True, codes.tobytes()), [0, 0])
                     seen[0] += 1
                     seen[1] += len(part)
-    total = {sort: sum(n for (s, _), (n, _) in found.items() if s == sort) for sort in (False, True)}
-    merged: dict[tuple, list] = {}
-    for (sort, codes), (n, weight) in found.items():
-        if total[sort] >= FAMILY_PIECES:
-            id_, values, bands = _piece(codes)
-            seen = merged.setdefault((sort, id_), [0, 0, values, bands])
+    out = []
+    for literal, all_of_it, share in ((False, len(tokens), FAMILY_SHARE), (True, whole, LITERAL_SHARE)):
+        own = {codes: counts for (sort, codes), counts in found.items() if sort == literal}
+        if sum(n for n, _ in own.values()) < FAMILY_PIECES or sum(weight for _, weight in own.values()) < share * all_of_it:
+            continue
+        merged: dict[int, list] = {}
+        for codes, (n, weight) in own.items():
+            id_, values = _piece(codes)
+            seen = merged.setdefault(id_, [0, 0, values])
             seen[0] += n
             seen[1] += weight
-    return [{"literal": sort, "id": id_, "n": n, "weight": weight, "shingles": values, "bands": bands} for (sort, id_), (n, weight, values, bands) in merged.items()]
+        sizes = np.array([len(values) for _, _, values in merged.values()])
+        many = np.array([n for n, _, _ in merged.values()])
+        order = np.argsort(sizes)
+        ahead, ordered = np.r_[0, np.cumsum(many[order])], sizes[order]
+        near = ahead[np.searchsorted(ordered, sizes / SIMILAR, "right")] - ahead[np.searchsorted(ordered, sizes * SIMILAR, "left")]
+        kept = [(id_, *x) for (id_, x), k in zip(merged.items(), near.tolist()) if k >= FAMILY_PIECES]
+        if sum(weight for _, _, weight, _ in kept) >= share * all_of_it:
+            out += [{"literal": literal, "id": id_, "n": n, "weight": weight, "shingles": values.view(np.int32), "bands": band_keys(values, PIECE_BANDS, PIECE_ROWS)} for id_, n, weight, values in kept]
+    return out
 
 
 def _features():
@@ -234,11 +250,12 @@ def _features():
                     codes = np.fromiter(map(code_of.__getitem__, tokens), np.int64, len(tokens))
                     kinds = codes & 3
                     masked = np.where(kinds == 2, 2, codes)
-                    kept, forms = _set_of(codes), counted(shingles(masked))
+                    table = kinds >= 2  # of a table's literals one counts
+                    kept, forms = _set_of(codes), counted(shingles(masked[~(table & np.r_[False, table][:-1])]))
                     sets = []
                     if len(kept) >= MASKED_FROM:
-                        sets.append({"masked": True, "id": _id_of(kept), "size": len(kept), "shingles": kept.view(np.int32).tolist(), "bands": band_keys(kept.astype(np.uint64))})
-                    elif len(tokens) >= LEAST_COPY:
+                        sets.append({"masked": True, "id": _id_of(kept), "size": len(kept), "shingles": kept.view(np.int32), "bands": band_keys(kept)})
+                    elif len(tokens) >= LEAST_COPY and grammars()[language].accepts(text):
                         exact = int.from_bytes(blake2b("\0".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
                         sets.append({"masked": False, "id": exact, "size": len(kept), "shingles": [], "bands": []})
                     repository = file.split("/", 1)[0]
@@ -248,7 +265,7 @@ def _features():
                         own += bool(first and len(first.group()) < len(name) and repository.lower().startswith(first.group().lower()))
                     rows.append((
                         file, language, repository, len(tokens), sum(map(len, tokens)), int((kinds < 2).sum()) >= PACKED_TOKENS * (text.count("\n") + 1), own, len(names), sets, _id_of(forms) if len(forms) else None,
-                        forms.view(np.int32).tolist(), band_keys(forms.astype(np.uint64), FORM_BANDS, FORM_ROWS) if len(forms) else [], pieces_of(tokens, masked, kinds.tolist(), cuts)))
+                        forms.view(np.int32), band_keys(forms, FORM_BANDS, FORM_ROWS) if len(forms) else [], pieces_of(tokens, masked, kinds.tolist(), cuts)))
                     held += len(tokens)
                     if held > 500_000:
                         yield pd.DataFrame(rows, columns=COLUMNS)
@@ -258,17 +275,20 @@ def _features():
     return run
 
 
-def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        kept = []
-        for x, y in zip(batch["shingles_a"], batch["shingles_b"]):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(both >= SIMILAR * (len(x) + len(y) - both))
-        yield batch.loc[kept, ["a", "b"]]
+def _similar(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch["shingles_a"], batch["shingles_b"]):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both >= least * (len(x) + len(y) - both))
+            yield batch.loc[kept, ["a", "b"]]
+
+    return run
 
 
-def near_duplicates(sets: DataFrame) -> DataFrame:
-    """``a, b`` with a < b: sets (``id, shingles, bands``) whose Jaccard similarity is 0.8 or more, each pair once.
+def near_duplicates(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """``a, b`` with a < b: sets (``id, shingles, bands``) whose Jaccard similarity is ``least`` or more, each pair once.
 
     Pairs come from equal bands and are verified on the whole sets. A band key of very many sets is cut into parts on one side.
     """
@@ -277,10 +297,10 @@ def near_duplicates(sets: DataFrame) -> DataFrame:
     inside = written(keys.join(sizes, "band"), "bands")
     a = inside.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
     b = inside.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    near = (F.col("n_a") >= SIMILAR * F.col("n_b")) & (F.col("n_b") >= SIMILAR * F.col("n_a"))  # sets of other sizes can't be as similar
-    pairs = a.join(b, ["band", "part"]).where("a < b").where(near).select("a", "b").distinct()
+    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))  # sets of other sizes can't be as similar
+    pairs = written(a.join(b, ["band", "part"]).where("a < b").where(near).select("a", "b").distinct(), "pairs")  # few pairs are sent to the sets, many are joined with them
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    return pairs.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_similar, "a bigint, b bigint")
+    return pairs.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_similar(least), "a bigint, b bigint")
 
 
 def several_files(files: DataFrame) -> DataFrame:
@@ -291,7 +311,7 @@ def several_files(files: DataFrame) -> DataFrame:
     own = ["repository", "form_id"]
     sets = files.groupBy(*own).agg(F.first("form_set").alias("shingles"), F.first("form_bands").alias("form_bands"), F.count("*").alias("n_files"))
     sets = written(sets.select(*own, F.xxhash64(*own).alias("id"), "shingles", F.transform("form_bands", lambda x: F.xxhash64("repository", x)).alias("bands"), "n_files"), "repository_forms")
-    links = written(near_duplicates(sets), "repository_links")
+    links = written(near_duplicates(sets, FAMILY_SIMILAR), "repository_links")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = sets.select("id", "n_files")
     near = ends.join(counts.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n_files").alias("n"))
@@ -319,10 +339,10 @@ def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = Tru
     data: nine tenths of the file's characters stand in families (:func:`piece_families`) of pieces that are literals only; generated: half of its tokens in families of other pieces, or it is of a
     family of files of its repository (:func:`several_files`); such a file is ``minified`` if its lines are packed, and so is one that is packed without repeating itself, which has no link to show.
     vendored: none of these, and similar to a file of another repository, unless it is the original: three or more of its names, and a tenth of all, begin with the name of its own repository, and
-    no file similar to it bears out another repository in that way. Files of less than 32 shingles are similar if all their tokens, twenty or more, are equal.
+    no file similar to it bears out another repository in that way. Files of less than 32 shingles are similar if they are valid in their language and all their tokens, twenty or more, are equal.
 
     class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files the family that holds most of them;
-    n_links: distinct similar sets besides its own; family_share: the share of its tokens (data: of its characters) in families. Comments count for nothing, so notices don't decide.
+    n_links: distinct similar sets besides its own; family_share: the share of its tokens (data: of its characters) in families, zero where the sizes of its pieces already tell that it stays below what decides. Comments count for nothing, so notices don't decide.
     Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
     """
     features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(), FEATURES), "features")
