@@ -110,3 +110,25 @@ def test_files(spark):
     got = {r.file: len(r.dialects) for r in parsed_files(code, names).collect()}
     assert got == {"a.py": 2, "b.py": 0, "c.json": 1, "f.PY": 2}
     assert parsed_files(code.limit(0), names).count() == 0
+
+
+FORMS = [
+    ("julia", "x .= y\n", True), ("julia", "x . = y\n", False), ("cpp", "template <> struct S<int> { int x; };\n", True), ("cpp", "template <typename T> concept C = requires(T a) { a + a; { a.x() } -> same<int>; typename T::v; };\n", True),
+    ("cpp", "template <typename T> requires C<T> void f(T a) { g(a); }\n", True), ("cpp", "template <> struct S<int> { int x };\n", False), ("javascript", "const x = `a ${b ? `c ${d}` : ''} e`;\n", True), ("javascript", "function A() { if (!new.target) { throw 1; } }\n", True),
+    ("javascript", "import x from './a.json' with { type: 'json' };\n", True), ("javascript", "do x++; while (x < 3);\n", True), ("javascript", "do { x++; } while (x < 3); while (y) { y--; }\n", True), ("javascript", "[a, b] = [b, a];\nx.y[1] += 2;\nlet c, d = 1;\n", True),
+    ("javascript", "const x;\n", False), ("javascript", "1 = x;\n", False), ("javascript", "f() = x;\n", False), ("javascript", "export const x;\n", False), ("python", "def f[T](x): return x\n", True), ("python", "def f(a, b=1, *args, c, d=2, **kw): pass\n", True),
+    ("python", "def f(a, /, b, *, c): pass\n", True), ("python", "def f(*, a): pass\n", True), ("python", "def f(a=1, b): pass\n", False), ("python", "def f(*): pass\n", False), ("python", "f(x for x in y)\n", True), ("python", "f(x for x in y, 1)\n", False),
+    ("python", "x = {1: 2, **a}\ny = {1, 2, *b}\nz = {}\nw = {k: v for k, v in a}\nu = {k for k in a}\n", True), ("python", "x = {1: 2, 3}\n", False), ("python", "x = 1_000 + 0xff + 0 + 00 + 1e5 + 1.5j + .5 + 017.5\n", True), ("python", "x = 0777\n", False), ("python", "x = 1__0\n", False),
+    ("python", "x = f'{a:{b}}' + f\"{{x}} {y['k']!r:>{w}}\"\n", True), ("python", "x = f'{a'\n", False), ("python", "x = f'a}'\n", False), ("python", "x = f'{}'\n", False), ("python", "a.b, c[1], *d = x\n(a) = 1\nx: int = 3\na.b += 1\nfor a, (b, c) in d: pass\nwith x as (y, z): pass\n", True),
+    ("python", "1 = x\n", False), ("python", "f() = 1\n", False), ("python", "None = 1\n", False), ("python", "x + 1 = 2\n", False)]
+
+
+@pytest.mark.parametrize("language, text, valid", FORMS)
+def test_forms(language, text, valid):
+    assert bool(languages()[language].accepts(text)) is valid
+
+
+def test_deep_indents():
+    """Indents beyond any bound keep their order."""
+    text = "".join(" " * (k * 30) + "if x:\n" for k in range(200)) + " " * 6000 + "y\n"
+    assert languages()["python"].accepts(text) and not languages()["python"].accepts(text + " " * 5999 + "z\n")

@@ -207,12 +207,39 @@ Names: head
         return self.dialects if all(self.pieces[("Line", x)] for x in set(self.reduced(self.lexed(text)).split(NEWLINE))) else ()
 
 
+def fields_close(text: str) -> bool:
+    """Whether the fields of a formatted string are closed and hold something; doubled braces are text, quotes within a field are skipped."""
+    depth, k, filled = 0, text.find(text[-1]) + 1, False
+    while k < len(text):
+        c = text[k]
+        if c == "{":
+            if not depth and text[k + 1:k + 2] == "{":
+                k += 1
+            else:
+                depth, filled = depth + 1, False
+        elif c == "}":
+            if depth and filled:
+                depth -= 1
+            elif depth or text[k + 1:k + 2] != "}":
+                return False
+            else:
+                k += 1
+        elif depth and c in "\"'" and c != text[-1]:
+            k, filled = text.find(c, k + 1), True
+            if k < 0:
+                return False
+        else:
+            filled |= not c.isspace()
+        k += 1
+    return depth == 0
+
+
 class Python(Language):
     dialects = ("python3.8", "python3.12")
     token = re.compile(
         r'(?i:[rbfu]{0,2})(?:"""(?:[^\\]|\\.)*?"""|\'\'\'(?:[^\\]|\\.)*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')'
         r"|#[^\n]*|\\\r?\n|\n[ \t\f]*|" + WORD +
-        r"|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)(?!\w)"
+        r"|(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:D\.(?:D)?|\.D)(?:[eE][+-]?D)?[jJ]?|D[eE][+-]?D[jJ]?|D[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w)".replace("D", r"\d(?:_?\d)*") +
         r"|\.\.\.|\*\*=?|//=?|<<=?|>>=?|[-+*/%@&|^<>=!:]=|->|[^\s]", re.S)
     words = {
         **{w: ("op",) for w in "or and // / % << >> & | ^ == != < > <= >=".split()}, "+": ("pm",), "-": ("pm",), "*": ("star",), "**": ("dstar",), "@": ("at",), "~": ("tilde",), "/": ("op", "slash"),
@@ -231,37 +258,48 @@ Pre: pm | tilde | not | await
 Prim: Atom Trails
 Trails: % | Trail Trails
 Trail: . id | pargs | bsub
-Atom: id | num | Strs | pexpr | blist | cdict
+Atom: id | num | Strs | pexpr | blist | cdict | cset
 Strs: str | str Strs
 Star: Expr | star Or
 Exprs: Star | Star , | Star , Exprs
 Named: Expr | id walrus Expr
-Arg: Named | id = Expr | star Expr | dstar Expr | Named Comp
-ArgList: % | Arg | Arg , | Arg , ArgList
+Arg: Named | id = Expr | star Expr | dstar Expr
+ArgList: Named Comp | Args
+Args: % | Arg | Arg , | Arg , Args
 Comp: for Targets in Or | for Targets in Or CompNext | async Comp
 CompNext: Comp | if CompIf | if CompIf CompNext
 CompIf: Or | id walrus Expr | lambda : Expr
-Target: Prim | star Prim
+Target: Place | star Place
+Place: id | pexpr | blist | Atom Last | Atom Trails Last
+Last: . id | bsub
 Targets: Target | Target , | Target , Targets
 Elem: Named | star Or | Named Comp
 ElemList: % | Elem | Elem , | Elem , ElemList
 InPar: Named | Named Comp | star Or | Yield
 InParList: Elem | Yield | Elem , | Elem , InParList
-DItem: Expr : Expr | dstar Or | Expr : Expr Comp | Elem
-DItemList: % | DItem | DItem , | DItem , DItemList
+DItem: Expr : Expr | dstar Or
+DItemList: Expr : Expr Comp | DItems
+DItems: % | DItem | DItem , | DItem , DItems
 Sub: Named | star Or | Slice
 SubList: Sub | Sub , | Sub , SubList
 Slice: Opt : Opt | Opt : Opt : Opt
 Opt: % | Expr
-Par: id Note Dflt | star | star id Note | dstar id Note | slash
-ParList: % | Par | Par , | Par , ParList
+ParList: % | Front | Front , | Front , Back | Back
+Front: Plains | Plains , Dflts | Dflts
+Plains: Plain | Plain , Plains
+Plain: id Note | slash
+Dflts: Dflt | Dflt , Dflts
+Dflt: id Note = Expr | slash
+Back: star id Stars Keys | star , Key Keys | dstar id Note | dstar id Note ,
+Stars: % | : Star
+Keys: % | , | , Key Keys | , dstar id Note | , dstar id Note ,
+Key: id Note | id Note = Expr
 Note: % | : Expr
-Dflt: % | = Expr
 Import: id | id as id
 ImportList: Import | Import , | Import , ImportList
 Yield: yield | yield Exprs | yield from Expr
-Small: Exprs | Chain | Prim aug Rest | Prim : Expr | Prim : Expr = Rest | jump | return | return Exprs | raise | raise Expr | raise Expr from Expr | import Mods | from Dots import Names | global Ids | nonlocal Ids | del Targets | assert Expr | assert Expr , Expr | Yield | id walrus Expr
-Chain: Exprs = Rest | Exprs = Chain
+Small: Exprs | Chain | Place aug Rest | Place : Expr | Place : Expr = Rest | jump | return | return Exprs | raise | raise Expr | raise Expr from Expr | import Mods | from Dots import Names | global Ids | nonlocal Ids | del Targets | assert Expr | assert Expr , Expr | Yield | id walrus Expr
+Chain: Targets = Rest | Targets = Chain
 Rest: Exprs | Yield
 Mods: Mod | Mod , Mods
 Mod: Dotted | Dotted as id
@@ -305,6 +343,7 @@ WithFull: WithHead Body
 DefFull: DefHead Body
 ClassFull: ClassHead Body
 CaseFull: CaseHead Body
+TypedFull: DefTypedHead Body
 Stmt8: simple | If | Loop | Try | With | Def | Deco Def | match8
 Stmt12: Stmt8 | alias | If | Loop | TryGroup | With2 | Typed | Deco Typed | matchhead match_in
 Deco: deco | deco Deco
@@ -322,31 +361,32 @@ Fin: finally suite | finallyfull
 With: with suite | withfull
 With2: withpar suite
 Def: def suite | deffull | class suite | classfull
-Typed: typed suite
+Typed: typed suite | typedfull
 Cases: case suite | case suite Cases | casefull | casefull Cases
 """)
     #: What a line may be -> the terminal it is on the level of blocks.
     LINES = {
         "Simple": "simple", "Alias": "alias", "IfHead": "if", "ElifHead": "elif", "ElseHead": "else", "LoopHead": "loop", "TryHead": "try", "ExceptHead": "except", "GroupHead": "group", "FinallyHead": "finally",
         "WithHead": "with", "WithParHead": "withpar", "DefHead": "def", "DefTypedHead": "typed", "ClassHead": "class", "DecoHead": "deco", "MatchHead": "matchhead", "CaseHead": "case", "IfFull": "iffull", "ElifFull": "eliffull", "ElseFull": "elsefull",
-        "LoopFull": "loopfull", "TryFull": "tryfull", "ExceptFull": "exceptfull", "FinallyFull": "finallyfull", "WithFull": "withfull", "DefFull": "deffull", "ClassFull": "classfull", "CaseFull": "casefull"}
-    INDENT = 0xE000
-    NEWLINES = re.compile("([\ue000-\uefff])")
+        "LoopFull": "loopfull", "TryFull": "tryfull", "ExceptFull": "exceptfull", "FinallyFull": "finallyfull", "WithFull": "withfull", "DefFull": "deffull", "ClassFull": "classfull", "CaseFull": "casefull", "TypedFull": "typedfull"}
+    INDENT, LAST_INDENT = 0xE000, "\uf8ff"
+    NEWLINES = re.compile("([\ue000-\uf8ff])")
     BLOCK = re.compile("\x02[^\x02\x03]*\x03")
 
     def __init__(self):
         super().__init__()
         comma, whole = self.abc.of(","), self.abc.of("lambda") + self.abc.of("for") + self.abc.of("yield")
         self.lists = {
-            "(": {"pargs": (comma, "Arg", True, whole), "pexpr": (comma, "InPar", True, whole), "pparams": (comma, "Par", True, whole), "pnames": (comma, "Import", True, ""), "pwith": (None, "WithItemList", True, "")},
-            "[": {"blist": (comma, "Elem", True, whole), "bsub": (comma, "Sub", True, whole)}, "{": {"cdict": (comma, "DItem", True, whole)}}
+            "(": {"pargs": (comma, "Arg", True, whole), "pexpr": (comma, "InPar", True, whole), "pparams": (None, "ParList", True, ""), "pnames": (comma, "Import", True, ""), "pwith": (None, "WithItemList", True, "")},
+            "[": {"blist": (comma, "Elem", True, whole), "bsub": (comma, "Sub", True, whole)}, "{": {"cdict": (comma, "DItem", True, whole), "cset": (comma, "Elem", True, whole)}}
+        self.widths, self.width_of = Memo(self.level), {}
         self.lines = Memo(self.line)
         self.blocks = Memo(self.block)
         self.statements = Memo(lambda p: self.grammar.accepted(("Stmt8", "Stmt12", "Cases"), p, self.abc.sets))
 
     def is_list(self, content, separator, rule, open_end, whole):
         if content == "":
-            return rule in ("Arg", "Elem", "DItem", "Par", "InPar") and separator is not None
+            return rule in ("Arg", "Elem", "DItem", "InPar") and separator is not None or rule == "ParList"
         return super().is_list(content, separator, rule, open_end, whole)
 
     def inside(self, bracket, content):
@@ -358,17 +398,25 @@ Cases: case suite | case suite Cases | casefull | casefull Cases
             width = 0
             for x in token[1:]:
                 width = (width // 8 + 1) * 8 if x == "\t" else 0 if x == "\f" else width + 1
-            return chr(self.INDENT + min(width, 4000))
+            return self.widths[width]
         if c == "#" or c == "\\" and token[-1] == "\n":
             return ""
         if token in "()[]{}":
             return token
         if token[-1] in "\"'" and len(token) > 1:
-            return abc.of("str")
+            return abc.of("str" if not re.match("(?i:f|fr|rf)[\"']", token) or fields_close(token) else ERROR)
         if c.isalpha() or c == "_":
             return abc.of("id")
         return abc.of("num") if c.isdigit() or c == "." and len(token) > 1 else abc.of(ERROR)
 
+    def level(self, width):
+        """A character for an indentation; the deeper, the later it may have been met, so its width is looked up."""
+        c = chr(self.INDENT + len(self.width_of))
+        if c > self.LAST_INDENT:
+            raise Rejected
+        self.width_of[c] = width
+        return c
+
     def line(self, content):
         names = self.grammar.accepted(self.LINES, content, self.abc.sets)
         if not names:
@@ -405,7 +453,7 @@ Cases: case suite | case suite Cases | casefull | casefull Cases
         for k in range(1, len(parts), 2):
             if not parts[k + 1]:
                 continue
-            width = ord(parts[k]) - self.INDENT
+            width = self.width_of[parts[k]]
             if width > levels[-1]:
                 levels.append(width)
                 out.append("\x02")
@@ -477,9 +525,11 @@ class Braces(Language):
 class JavaScript(Braces):
     dialects = ("module",)
     BEGINS = ("if", "for", "var", "let", "const", "function", "return", "switch", "try", "throw", "class", "import", "export")
+    INNER = r"(?:[^{}`]|`(?:[^`\\]|\\.)*`|\{(?:[^{}`]|`(?:[^`\\]|\\.)*`|\{(?:[^{}`]|`(?:[^`\\]|\\.)*`|\{[^{}`]*\})*\})*\})*"
+    TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{" + INNER + r"\})*`"
     REGEX = r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
     token = re.compile(
-        r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/|\n'
+        r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|' + TEMPLATE + r'|//[^\n]*|/\*.*?\*/|\n'
         r"|(?:[(,=:\[!&|?{};+\n]|\breturn|\btypeof)\s*" + REGEX + r"|[$#]?(?:(?:[^\W\d]|\$)[\w$]*)"
         r"|(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$])"
         r"|\.\.\.|=>|\?\.(?!\d)|>>>=?|[=!]==?|\*\*=?|<<=?|>>=?|&&=?|\|\|=?|\?\?=?|\+\+|--|[-+*/%&|^<>]=|[^\s]", re.S)
@@ -491,7 +541,7 @@ class JavaScript(Braces):
         **{w: ("id", "name", w) for w in "let async of get set static from as".split()}, **{w: (w,) for w in ", ; : . ?".split()}}
     grammar = Grammar("""
 Expr: Asn | Asn , Expr
-Asn: Tern | Post = Asn | Post aug Asn | Head arrow Asn | Head arrow block | yield | yield Asn | yield star Asn
+Asn: Tern | Place = Asn | Place aug Asn | Head arrow Asn | Head arrow block | yield | yield Asn | yield star Asn
 Head: id | pparams | async id | async pparams
 Tern: Bin | Bin ? Asn : Asn
 Bin: Un | Un Op Bin
@@ -500,8 +550,10 @@ Un: Pre Un | Post | Post inc
 Pre: not | pm | inc | unary | await
 Post: Prim Trails
 Trails: % | Trail Trails
+Place: id | array | object | pexpr | Prim Trails Last
+Last: . name | index
 Trail: . name | index | pargs | tpl | opt name | opt pargs | opt index
-Prim: id | num | str | tpl | regex | lit | array | object | pexpr | Fun | Cls | new Post | super | import pargs | import . name
+Prim: id | num | str | tpl | regex | lit | array | object | pexpr | Fun | Cls | new Post | super | import pargs | import . name | new . name
 Fun: function pparams block | function id pparams block | function star pparams block | function star id pparams block | async Fun
 Cls: class classbody | class id classbody | class extends Post classbody | class id extends Post classbody
 Elem: % | Asn | dots Asn
@@ -519,6 +571,8 @@ Init: % | Var Decls | Expr
 Of: of | in
 Opt: % | Expr
 Var: var | let | const
+Free: var | let
+Consts: Pattern = Asn | Pattern = Asn , Consts
 Decls: Decl | Decl , Decls
 Decl: Pattern | Pattern = Asn
 Piece: Comps | Comps Simple
@@ -526,8 +580,9 @@ Comps: % | Comp Comps
 Comp: block | Fun | Cls | if pexpr Body | if pexpr Body else Body | for pfor Body | for await pfor Body | while pexpr Body | do Body while pexpr | try block Handler | switch pexpr switchbody | id : Body | export Fun | export Cls | export default Fun | export default Cls
 Handler: catch block | catch pparams block | finally block | catch block finally block | catch pparams block finally block
 Body: Comp | Simple | Simple ; | ;
-Simple: Expr | Var Decls | return | return Expr | throw Expr | jump | jump id | import From | export names | export names from str | export star from str | export star as name from str | export default Asn | export Var Decls
-From: str | id from str | names from str | id , names from str | star as id from str | id , star as id from str
+Simple: Expr | Free Decls | const Consts | return | return Expr | throw Expr | jump | jump id | import From | export names | export names from Src | export star from Src | export star as name from Src | export default Asn | export Free Decls | export const Consts
+Src: str | str id object
+From: Src | id from Src | names from Src | id , names from Src | star as id from Src | id , star as id from Src
 SwPiece: Labels Piece
 Labels: % | case Expr : Labels | default : Labels
 Members: Methods | Methods Field
@@ -549,6 +604,7 @@ Field: Key | Key = Asn | Mods Key | Mods Key = Asn
             f"(?<=[{goes_on}{of('else', 'do')}])\n+|\n+(?=[{re.escape(of('op', '=', 'aug', ',', '.', '?', ':', 'arrow', 'opt', ';', 'else', 'catch', 'finally', 'instanceof'))}\n(\\[`)])|^\n+|\n+$")
         self.heads = re.compile(f"([{of('if', 'while', 'for')}][^\n])\n+|({of('do')}[^\n])\n+(?={of('while')})")
         self.split = re.compile(f"\n|{self.abc.of(';')}(?!\n?[{of('else')}])")
+        self.once = re.compile(f"([{of('do')}][^{self.semi}\n{of('while')}]+){self.semi}\n*(?=[{of('while')}])")  # the body of a loop that is one statement
 
     def is_list(self, content, separator, rule, open_end, whole):
         if content == "":
@@ -561,7 +617,7 @@ Field: Key | Key = Asn | Mods Key | Mods Key = Asn
         return self.joins.sub("", super().lexed(text))
 
     def parts_of(self, content):
-        return super().parts_of(self.heads.sub(lambda m: m[1] or m[2], self.joins.sub("", content)))
+        return super().parts_of(self.once.sub(r"\1", self.heads.sub(lambda m: m[1] or m[2], self.joins.sub("", content))))
 
     def classify(self, token):
         c, abc = token[0], self.abc
@@ -627,7 +683,7 @@ Pre: not | pm | inc | ptr | new | delete | delete index | co
 Post: Prim Trails
 Trails: % | Trail Trails
 Trail: dot Name | index | pargs | init | dot typename Name
-Prim: Name | num | Strs | chr | lit | pexpr | Lambda | Tys pargs | Tys init | cast lt Type gt pexpr | cast lt Type Abs gt pexpr | size pexpr | size ptype | size dots pexpr | new Type | Tys | typename Name
+Prim: Name | num | Strs | chr | lit | pexpr | Lambda | Tys pargs | Tys init | cast lt Type gt pexpr | cast lt Type Abs gt pexpr | size pexpr | size ptype | size dots pexpr | new Type | Tys | typename Name | requires pparams block | requires block
 Strs: str | str Strs
 Lambda: index block | index pparams FnTail block | caps block | caps pparams FnTail block
 FnTail: % | FnT FnTail
@@ -654,14 +710,14 @@ Fn: Type PtrsO FnDcl | FnDcl | qual Fn | attr Fn
 FnDef: Fn block | Fn : MemInits block | Fn try block Catches
 MemInits: MemInit | MemInit , MemInits
 MemInit: Name pargs | Name init | Name pargs dots
-Decl: Type Dcls | Fn | Fn = num | Fn = lit | Fn = default | Fn = delete | using Name = Type | using Name = Type Abs | using Name | using namespace Name | using typename Name | typedef Type Dcls | cls Name | enum Name | ClsDef | ClsDef Dcls | typedef ClsDef Dcls | qual ClsDef Dcls | template lt TPars gt Decl | template Type | namespace id = Name | extern_c | friend_ | size pargs | qual Decl
+Decl: Type Dcls | Fn | Fn = num | Fn = lit | Fn = default | Fn = delete | using Name = Type | using Name = Type Abs | using Name | using namespace Name | using typename Name | typedef Type Dcls | cls Name | enum Name | ClsDef | ClsDef Dcls | typedef ClsDef Dcls | qual ClsDef Dcls | template lt TPars gt Decl | template lt gt Decl | template lt TPars gt requires Bin Decl | template Type | namespace id = Name | extern_c | friend_ | size pargs | qual Decl
 ClsDef: cls ClsName classbody | cls ClsName : Bases classbody | cls classbody | enum enumbody | enum ClsName enumbody | enum cls ClsName enumbody | enum ClsName : Type enumbody | enum cls ClsName : Type enumbody
 ClsName: Name | Name id | attr Name
 Bases: Base | Base , Bases
 Base: Name | acc Name | qual Base | acc qual Name | Base dots
 TPars: TPar | TPar , TPars
 TPar: cls | cls id | typename | typename id | cls id = Type | typename id = Type | cls dots id | typename dots id | typename dots | Type id | Type id = Un | Type | template lt TPars gt TPar
-Item: FnDef | namespace nsbody | namespace Name nsbody | qual namespace Name nsbody | qual str nsbody | qual str Item | template lt TPars gt Item | template lt TPars gt requires Bin Item
+Item: FnDef | namespace nsbody | namespace Name nsbody | qual namespace Name nsbody | qual str nsbody | qual str Item | template lt TPars gt Item | template lt gt Item | template lt TPars gt requires Bin Item
 Items: % | Item Items | ClsBare Items
 ClsBare: namespace nsbody
 Top: Items | Items Decl
@@ -670,7 +726,8 @@ Comp: block | if pexpr Body | if pexpr Body else Body | if qual pexpr Body | if
 Catches: catch pparams block | catch pparams block Catches
 Body: Comp | Simple ; | Simple | ; | else_
 Comps: % | Comp Comps
-Simple: Expr | Decl | return | return AsnOrInit | return Expr | jump | goto id | do Body while pexpr | co | using enum Name
+Simple: Expr | Decl | return | return AsnOrInit | return Expr | jump | goto id | do Body while pexpr | co | using enum Name | Need
+Need: init | init arrow Type | init noexcept | init noexcept arrow Type | typename Name | requires Bin
 Stm: Comps | Comps Simple
 StmEnd: Comps
 Access: acc :
@@ -691,6 +748,7 @@ Top20: Top | Items Concept
             "(": {"pargs": (comma, "Arg", False, lt), "pexpr": (None, "Cond", False, ""), "pparams": (comma, "Par", False, lt), "pfor": (None, "ForHead", False, ""), "pcast": (None, "TypeOnly", False, ""), "ptype": (None, "TypeOnly", False, ""), "pfn": (None, "FnPtr", False, "")},
             "[": {"index": (None, "Expr", False, ""), "arrsfx": (None, "Expr", False, ""), "caps": (comma, "Cap", False, "")}, "{": {"init": (comma, "Init", True, lt), "enumbody": (comma, "Enumerator", True, "")}}
         self.split = re.compile(f"{self.abc.of(';')}(?!{self.abc.of('else')})")
+        self.tops = Memo(lambda p: self.grammar.accepted(("Top", "Top20"), self.repeated.sub(r"\1\1", p), self.abc.sets))
 
     def lexed(self, text):
         return "".join(map(self.tokens.__getitem__, (m.group() for m in self.token.finditer(text))))
@@ -739,8 +797,11 @@ Top20: Top | Items Concept
         return abc.of("num") if c.isdigit() or c == "." and len(token) > 1 else abc.of(ERROR)
 
     def whole(self, text):
-        tokens = self.reduced(self.lexed(text))
-        return self.dialects if self.statements(tokens, ("Top", "TopEnd")) else self.dialects[1:] if self.statements(tokens, ("Top20", "TopEnd")) else ()
+        closed, ended = self.parts_of(self.reduced(self.lexed(text)))
+        found = frozenset.intersection(frozenset(["Top", "Top20"]), *(self.tops[p] for p in closed))
+        if not found or not all(self.pieces[("TopEnd", p)] for p in ended):
+            return ()
+        return self.dialects if "Top" in found else self.dialects[1:]
 
 
 class Julia(Language):
@@ -749,7 +810,7 @@ class Julia(Language):
     token = re.compile(
         r"(?:[^\W\d]\w*)?(?:" + STRING + r")\w*|#=.*?=#|#[^\n]*|\n|(?<![\w)\]}'.])'(?:\\[^'\n]*|[^\\'\n])'|:(?:[^\W\d]\w*!?)(?=\W)|@(?:[^\W\d][\w.]*!?|\+|\.)|(?:[^\W\d][\w]*!*(?!=))"
         r"|0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|(?:\d[\d_]*(?:\.(?!\.)[\d_]*)?|\.\d[\d_]*)(?:[eEf][+-]?\d+)?(?:[^\W\d]\w*)?"
-        r"|\.\.\.?|::|->|=>|<:|>:|\|>|&&|\|\||[=!]==|\.?(?:[-+*/÷\\%^&|<>=!⊻]=|//=?|>>>|<<|>>)|\.(?:[-+*/÷\\%^&|<>!]|==)|[^\s]", re.S)
+        r"|\.\.\.?|::|->|=>|<:|>:|\|>|&&|\|\||[=!]==|\.=(?!=)|\.?(?:[-+*/÷\\%^&|<>=!⊻]=|//=?|>>>|<<|>>)|\.(?:[-+*/÷\\%^&|<>!]|==)|[^\s]", re.S)
     words = {
         **{w: ("fun", "open") for w in ("function", "macro")}, **{w: (w, "open") for w in "module struct begin quote let if for while try do".split()}, "baremodule": ("module", "open"), "abstract": ("id", "abstract"), "primitive": ("id", "primitive"), "type": ("id", "type"), "mutable": ("id", "mutable"),
         **{w: (w,) for w in "end else elseif catch finally where".split()}, **{w: ("jump",) for w in ("break", "continue")}, "return": ("return",), "in": ("in", "op"), "isa": ("op", "id"), "using": ("using",), "import": ("using",), "export": ("export",),
