@@ -13,6 +13,22 @@ def shortened(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 3)), F.lit("..."))).otherwise(text)
 
 
+def clipped(text: Column, n: int) -> Column:
+    """The first ``n`` characters; a cut text has three dots after them."""
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
+
+
+def advisory(kinds: Column) -> Column:
+    """What to say of a selection by the kinds of its nodes: that files stand beside others, or that half or more of six or more are chunks; else null."""
+    files, chunks, n = F.size(F.filter(kinds, lambda k: k == "file")), F.size(F.filter(kinds, lambda k: k == "chunk")), F.size(kinds)
+    return F.when((files > 0) & (files < n), "mixed").when((n >= 6) & (chunks * 2 >= n), "chunks")
+
+
+def has_keys(text: Column, keys: list[str]) -> Column:
+    """Whether a text is a JSON object with exactly these keys."""
+    return F.coalesce(F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))
+
+
 def table_cell(value: Column) -> Column:
     """Text of a Markdown table cell: line ends and bars escaped, null as missing."""
     for old, new in (("\r", " "), ("\n", "\\n"), ("|", "\\|"), ("\t", " ")):

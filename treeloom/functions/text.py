@@ -1,9 +1,14 @@
-"""Column helpers shared by the operators (JVM-side expressions only)."""
+"""Column helpers shared by the operators: JVM-side expressions, and :func:`composed`, which no expression says."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters Unicode calls white space, for a regular expression class.
 UNICODE_SPACE = r"\u0009-\u000d\u001c- \u0085   -     　"
@@ -28,3 +33,13 @@ def extension(c: Column) -> Column:
 def first_segment(c: Column) -> Column:
     """The first path segment, which names the repository."""
     return F.substring_index(c, "/", 1)
+
+
+@F.arrow_udf(T.StringType())
+def composed(values: pa.Array) -> pa.Array:
+    """Without Unicode white space at both ends, in composed form (NFC); a whole batch at once where it is ASCII."""
+    values = pc.utf8_trim_whitespace(values.cast(pa.string()))
+    if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+        return values
+    names = pc.dictionary_encode(values)
+    return pc.take(pa.array([None if v is None else unicodedata.normalize("NFC", v) for v in names.dictionary.to_pylist()], pa.string()), names.indices)

@@ -39,7 +39,7 @@ def hunks(patch: DataFrame) -> DataFrame:
     rows = patch.select("path", F.posexplode(parts)).where(F.col("col").startswith("@@ -"))
     n = lambda k: F.regexp_extract("col", HUNK, k)
     count = lambda k: F.when(n(k) == "", 1).otherwise(n(k).cast("int"))
-    body = F.slice(F.split("col", "\n"), 2, 1_000_000)
+    body = F.slice(F.split("col", "\n"), F.lit(2), F.size(F.split("col", "\n")))
     marked = lambda sign: F.size(F.filter(body, lambda x: x.startswith(sign)))
     return rows.select("path", F.col("pos").alias("hunk_no"), n(1).cast("int").alias("old_start"), count(2).alias("old_count"), n(3).cast("int").alias("new_start"), count(4).alias("new_count"), marked("-").alias("n_removed"), marked("+").alias("n_added"))
 
@@ -89,7 +89,7 @@ def name_status(raw: DataFrame, column: str) -> DataFrame:
 
 def porcelain(raw: DataFrame, column: str) -> DataFrame:
     """``path, status, has_staged, has_unstaged`` of status lines ``XY path``: untracked for ``??``, unmerged for the pairs that mean it, else the letter of the index, or of the working tree."""
-    xy, path = F.left("line", F.lit(2)), F.substring("line", 4, 1_000_000)
+    xy, path = F.left("line", F.lit(2)), F.substring("line", F.lit(4), F.length("line"))
     rows = raw.select(F.explode(F.filter(F.split(column, "\n"), lambda x: F.length(x) > 3)).alias("line")).select(xy.alias("xy"), path.alias("path"))
     letter = F.when(F.left("xy", F.lit(1)).isin(" ", "?"), F.substring("xy", 2, 1)).otherwise(F.left("xy", F.lit(1)))
     word = F.coalesce(*[F.when(letter == k, v) for k, v in STATUS_LETTERS.items()])

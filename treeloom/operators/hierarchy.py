@@ -9,7 +9,6 @@ to the rows. A component of any size is thus spread over many tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,16 +21,12 @@ TREE, ON_CYCLE, BELOW_CYCLE = 0, 1, 2
 LOCAL = "id string, parent string, is_top boolean, given int, frag string, steps int, pre int, size int, state int, line array<struct<ord int, id string>>"
 
 
-def walk_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Depth-first walk of the links among the rows of one partition.
+def walk_fragment(rows: pd.DataFrame) -> pd.DataFrame:
+    """Depth-first walk of the links among the rows of one group.
 
     A row whose parent isn't among them starts a tree (``frag`` is its id); ``steps`` is the depth below it, ``pre`` and ``size`` give
     the place in the walk and the rows of the subtree, ``line`` the way down from it in sibling order. Rows on a cycle get state 1, rows below one 2.
     """
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pd.concat(parts, ignore_index=True)
     rows = rows.sort_values(["ord", "id", "parent", "given", "kind"], kind="stable", na_position="last").drop_duplicates("id", ignore_index=True)
     with_line = "want_line" in rows.columns
     ids, n = rows["id"].tolist(), len(rows)
@@ -89,7 +84,7 @@ def walk_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out["line"] = lines
     else:
         out["line"] = None
-    yield out
+    return out
 
 
 def _resolve(tops: DataFrame, with_line: bool) -> DataFrame:
@@ -123,7 +118,7 @@ def hierarchy(nodes: DataFrame, locality: Column | None = None, with_line: bool
     """Place of each row of ``nodes`` (``id, parent, kind, depth, sibling_order``; other columns are ignored) in the hierarchy its links form.
 
     locality: rows with the same value are likely linked; it bears on speed only. Default: the id up to the first colon.
-    fragment_rows: rows of one locality from which they are spread over several tasks.
+    fragment_rows: rows of a fragment at most; each is a group of its own, whatever the number of tasks.
     Returns ``id, issue, root, steps, depth, line, local_size``: ``issue`` is null for a sound row, else ``cycle``, ``below_cycle``, ``no_root`` or ``wrong_depth``;
     ``root`` and ``steps`` are null on and below cycles; ``line`` (with_line) is the way from the root as (sibling order, id), by which rows sort in document order; siblings in the same place go by id.
     Exact duplicates count once. Of several rows for one id the first in the order sibling_order, parent, depth, kind (nulls last) holds. Rows without id are left out; they can be no one's parent.
@@ -132,9 +127,14 @@ def hierarchy(nodes: DataFrame, locality: Column | None = None, with_line: bool
     rows = nodes.where("id is not null").select("id", "parent", "kind", F.col("depth").cast("int").alias("given"), F.col("sibling_order").cast("int").alias("ord"), key.alias("near"))
     if with_line:
         rows = rows.withColumn("want_line", F.lit(True))
-    large = rows.groupBy("near").count().where(F.col("count") > fragment_rows).select("near", F.ceil(F.col("count") / fragment_rows).cast("int").alias("cuts"))
-    rows = rows.join(large, "near", "left").withColumn("cut", F.when(F.col("cuts").isNull(), 0).otherwise(F.pmod(F.hash("id"), F.col("cuts"))))
-    local = written(rows.repartition("near", "cut").drop("cuts", "near", "cut").mapInPandas(walk_fragments, LOCAL), "walked")
+    sizes = written(rows.groupBy("near").agg(F.count("*").alias("n")), "localities")
+    # localities above a quarter of the bound are cut by hash, the others put together by hash: four shares of a group's mean are far above any it has by chance
+    share = max(1, fragment_rows // 4)
+    groups = max(1, -(-(sizes.where(F.col("n") <= share).agg(F.sum("n")).first()[0] or 0) // share))
+    cuts = sizes.where(F.col("n") > share).select(F.col("near").alias("wide"), F.ceil(F.col("n") / share).cast("int").alias("cuts"))
+    rows = rows.join(cuts, rows["near"].eqNullSafe(F.col("wide")), "left")
+    rows = rows.withColumn("part", F.when(F.col("cuts").isNotNull(), F.concat_ws(":", F.xxhash64("near"), F.pmod(F.hash("id"), F.col("cuts")))).otherwise(F.pmod(F.xxhash64("near"), F.lit(groups)).cast("string")))
+    local = written(rows.drop("cuts", "near", "wide").groupBy("part").applyInPandas(walk_fragment, LOCAL), "walked")
 
     tops = local.where("state = 0 and id = frag").select("frag", "parent", "is_top", *(["line"] if with_line else []))
     outside = local.select(F.col("id").alias("parent"), F.col("frag").alias("to"), F.col("steps").alias("down"), F.col("state").alias("to_state"), *([F.col("line").alias("to_line")] if with_line else []), "pre")
@@ -184,3 +184,26 @@ def placed_nodes(nodes: DataFrame, **how) -> DataFrame:
     return placed.join(below, "id", "left").select(
         "id", "root", "steps", F.array_join(F.transform("line", lambda x: x["id"]), " > ").alias("path"), F.array_join(part, "\u0001").alias("order_key"),
         F.when(F.col("line").isNotNull(), F.coalesce("n", F.lit(0))).alias("n_descendants"), "issue")
+
+
+def cycles(nodes: DataFrame, **how) -> DataFrame:
+    """``ring, position, id`` of the rows on cycles: ``ring`` is the least id of the cycle, ``position`` counts from 0 there along ``parent``.
+
+    Rows double their pointers, so a cycle of any length takes a number of rounds that grows with its logarithm; no task holds a cycle.
+    """
+    on = broken_links(nodes, **how).where("issue = 'cycle'").select("id")
+    best = F.min_by("parent", F.struct(F.col("sibling_order").isNull(), "sibling_order", F.col("parent").isNull(), "parent", F.col("depth").isNull(), "depth", F.col("kind").isNull(), "kind"))
+    links = written(nodes.join(on, "id", "left_semi").groupBy("id").agg(best.alias("to")), "ring")
+    rounds = math.ceil(math.log2(max(2, links.count())))
+    now = links.select("id", "to", F.col("id").alias("least"))
+    for _ in range(rounds):
+        ahead = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        now = written(now.join(ahead, "to").select("id", F.col("to2").alias("to"), F.least("least", "least2").alias("least")), "ring")
+    ring = now.select("id", F.least("least", "to").alias("ring"))
+    # steps along the links to the least id, at which the way ends
+    away = written(links.join(ring, "id").select("id", "ring", F.when(F.col("id") == F.col("ring"), F.col("id")).otherwise(F.col("to")).alias("to"), F.when(F.col("id") == F.col("ring"), 0).otherwise(1).alias("left")), "ring")
+    for _ in range(rounds):
+        ahead = away.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("left").alias("left2"))
+        away = written(away.join(ahead, "to").select("id", "ring", F.col("to2").alias("to"), (F.col("left") + F.col("left2")).alias("left")), "ring")
+    size = away.groupBy("ring").agg(F.count("*").alias("n"))
+    return away.join(size, "ring").select("ring", F.pmod(F.col("n") - F.col("left"), F.col("n")).alias("position"), "id")

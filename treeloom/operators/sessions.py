@@ -107,3 +107,30 @@ def token_estimate(text: Column) -> Column:
 def retry_delay(status: Column, attempt: Column, most: int) -> Column:
     """Milliseconds to wait: 1000 times two to the attempt for 429 and server errors below ``most`` attempts, else null."""
     return F.when((attempt < most) & ((status == 429) | (status >= 500)), (F.lit(1000) * F.pow(F.lit(2), attempt)).cast("bigint"))
+
+
+def listing(events: DataFrame, session: str, order: str) -> DataFrame:
+    """``session, id, started, duration, description`` of every session with a start: the first start's number and time to the minute, how long until the first end (empty without one), and the raw text, else the text, of the first message that is not a reflection, cut to 120 characters."""
+    from treeloom.functions.scalars import duration, shortened
+
+    first = lambda kind, value, more=F.lit(True): F.min_by(value, F.when((F.col("type") == kind) & more, F.col(order)))
+    met = events.groupBy(session).agg(
+        F.count_if(F.col("type") == "session_start").alias("starts"), first("session_start", F.col("id")).alias("id"), first("session_start", F.col("timestamp")).alias("began"), first("session_end", F.col("timestamp")).alias("ended"),
+        first("user_message", F.coalesce("raw_content", "content"), ~F.col("source").eqNullSafe("reflection")).alias("said"))
+    said = F.regexp_replace(F.coalesce("said", F.lit("(no description)")), r"\s*\n\s*", " ")
+    return met.where("starts > 0").select(session, "id", F.left("began", F.lit(16)).alias("started"), F.when(F.col("ended").isNull(), "").otherwise(duration(F.col("began"), F.col("ended"))).alias("duration"), shortened(said, 120).alias("description"))
+
+
+def final_messages(events: DataFrame, session: str, order: str) -> DataFrame:
+    """``session, content``: the last answer of each session that has one; logs that keep an answer's text as ``output`` count too."""
+    answers = events.where("type = 'llm_response'")
+    return answers.groupBy(session).agg(F.max_by(F.coalesce("content", "output"), F.col(order)).alias("content"))
+
+
+def steering(usage: DataFrame, template: Column, limits: dict[str, int]) -> DataFrame:
+    """``usage`` (``baseline, last_call, turn_index, auto_turns, state``) with ``message``: the filled template of a turn after its first call, null for that call or where the template asks for something unknown."""
+    from treeloom.functions.scalars import filled
+
+    values = {"julia_state": F.col("state"), "turn_tokens": F.greatest(F.lit(0), F.col("last_call") - F.col("baseline")).cast("string"), "turn_index": F.col("turn_index").cast("string"), "auto_turns_taken": F.col("auto_turns").cast("string")}
+    values |= {name: F.lit(str(n)) for name, n in limits.items()}
+    return usage.withColumn("message", F.when(F.col("baseline") != 0, filled(template, values)))

@@ -13,7 +13,7 @@ def comment_summary(source: Column) -> Column:
     """The first three lines of a comment that hold a letter or digit, without marks, joined by a blank; a first line that looks like a call is left out; null if nothing is left."""
     lines = F.transform(F.split(source, "\n"), lambda x: F.rtrim(F.regexp_replace(F.regexp_replace(x, "\r$", ""), LEADING_MARKS, "")))
     lines = F.filter(lines, lambda x: ~F.contains(x, F.lit('"""')) & x.rlike("[A-Za-z0-9]"))
-    lines = F.when((F.size(lines) > 0) & F.get(lines, F.lit(0)).rlike(r"^[A-Za-z_][A-Za-z0-9_.!]*\("), F.slice(lines, 2, 1_000_000)).otherwise(lines)
+    lines = F.when((F.size(lines) > 0) & F.get(lines, F.lit(0)).rlike(r"^[A-Za-z_][A-Za-z0-9_.!]*\("), F.slice(lines, F.lit(2), F.size(lines))).otherwise(lines)
     text = F.array_join(F.slice(lines, 1, 3), " ")
     return F.when(text != "", text)
 

@@ -37,10 +37,33 @@ def merged_status(changes: DataFrame) -> DataFrame:
     return top.join(flags, "path")
 
 
+def file_changes(diff: DataFrame, working: DataFrame, binary: DataFrame, indexed: DataFrame, staged: DataFrame, unstaged: DataFrame, phase: str) -> DataFrame:
+    """The changed files of a phase (``all``, ``staged`` or ``unstaged``): ``path, old_path, status, is_binary, is_indexed, git_has_staged, git_has_unstaged``.
+
+    diff: ``path, old_path, status`` of the phase; working: ``path, status, has_staged, has_unstaged`` of the working tree, where untracked and unmerged paths are taken from; binary, indexed, staged and
+    unstaged: paths. Unmerged comes before untracked (which counts in the phases all and unstaged) before the entry of the diff.
+    """
+    flag = lambda df, name: df.select("path").distinct().withColumn(name, F.lit(True))
+    unstaged = unstaged.select("path").unionByName(working.where("status = 'untracked'").select("path"))
+    tree = working.where("status in ('untracked', 'unmerged')").groupBy("path").agg(F.max_by("status", F.when(F.col("status") == "unmerged", 1).otherwise(0)).alias("_tree"), F.bool_or("has_staged").alias("_s"), F.bool_or("has_unstaged").alias("_u"))
+    entry = diff.groupBy("path").agg(F.max(F.struct("status", "old_path")).alias("_d"))
+    rows = entry.join(tree, "path", "full")
+    for df, name in ((binary, "_b"), (indexed, "_i"), (staged, "_st"), (unstaged, "_un")):
+        rows = rows.join(flag(df, name), "path", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    unmerged = F.coalesce((F.col("_tree") == "unmerged") & (F.lit(phase == "all") | F.lit(phase == "staged") & has("_s") | F.lit(phase == "unstaged") & has("_u") | F.col("_d").isNotNull()), F.lit(False))
+    untracked = F.coalesce((F.col("_tree") == "untracked") & F.lit(phase != "staged"), F.lit(False))
+    pick = lambda a, b, c: F.when(unmerged, a).when(untracked, b).otherwise(c)
+    return rows.where(unmerged | untracked | F.col("_d").isNotNull()).select(
+        "path", pick(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("_d.old_path")).alias("old_path"), pick(F.lit("unmerged"), F.lit("untracked"), F.col("_d.status")).alias("status"),
+        pick(F.lit(False), has("_b"), has("_b")).alias("is_binary"), pick(has("_i"), F.lit(False), has("_i")).alias("is_indexed"),
+        pick(has("_s") | has("_st"), F.lit(False), has("_st")).alias("git_has_staged"), pick(has("_u") | has("_un"), F.lit(True), has("_un")).alias("git_has_unstaged"))
+
+
 def save_version(table: DataFrame, folder: str, version: int, token: str) -> None:
-    """Writes a version below ``folder`` and then the pointer to it; readers see the old version or the new one, never part of it."""
+    """Writes a version below ``folder`` and then a pointer to it beside the earlier ones; readers see the old version or the new one, never part of it."""
     table.write.mode("overwrite").parquet(f"{folder}/v{version}")
-    table.sparkSession.createDataFrame([(version, token)], "version int, token string").coalesce(1).write.mode("overwrite").json(f"{folder}/current")
+    table.sparkSession.createDataFrame([(version, token)], "version int, token string").coalesce(1).write.mode("append").json(f"{folder}/current")
 
 
 def load_version(spark: SparkSession, folder: str, token: str) -> DataFrame | None:

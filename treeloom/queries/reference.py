@@ -102,18 +102,20 @@ def o10_outermost(spark, sf_dir):
     return trees.outermost(nodes.where("kind in ('module', 'file', 'class')"), nodes)
 
 
-RANKED = C + """, r as (select *, row_number() over (partition by parent order by case when lower(name) = 'readme.md' then 0 else 1 end, case when trim(coalesce(summary, '')) <> '' then 0 else 1 end,
-  coalesce(case kind when 'class' then 0 when 'type' then 1 when 'function' then 2 when 'method' then 3 when 'module' then 4 when 'file' then 5 when 'block' then 6 when 'chunk' then 7 when 'comment' then 8 end, 99),
-  n_lines desc nulls last, sibling_order nulls last, id) as rank from c where parent is not null)
+RANKED = """, r as (select *, count(*) over (partition by parent) as n, row_number() over (partition by parent order by sibling_order nulls last, id) as natural_rank,
+  row_number() over (partition by parent order by case when name = 'README.md' then 0 else 1 end, case when summary is null then 1 else 0 end,
+  coalesce(case kind when 'module' then 1 when 'file' then 2 when 'class' then 3 when 'function' then 4 when 'type' then 5 when 'variable' then 6 when 'import' then 7 when 'loop' then 8 when 'conditional' then 9
+    when 'try' then 10 when 'with' then 11 when 'comment' then 12 when 'chunk' then 13 end, 99), {words}
+  coalesce(n_lines, 0) desc, sibling_order nulls last, id) as scored_rank from {rows} where parent is not null)
 """
 
 
-@query(RANKED + "select parent, id, rank from r where rank <= 5")
+@query(C + RANKED.format(words="", rows="c") + "select parent, id, case when n <= 5 then natural_rank else scored_rank end as rank from r where n <= 5 or scored_rank <= 5")
 def o4_ranked_children(spark, sf_dir):
     return trees.ranked_children(code_rows(spark, sf_dir, "id", "parent", "kind", "name", "summary", "n_lines", "sibling_order"), 5)[0]
 
 
-@query(RANKED + "select parent, kind, count(*) as n_omitted from r where rank > 5 group by parent, kind")
+@query(C + RANKED.format(words="", rows="c") + "select parent, kind, count(*) as n_omitted from r where n > 5 and scored_rank > 5 group by parent, kind")
 def o5_omitted_children(spark, sf_dir):
     return trees.ranked_children(code_rows(spark, sf_dir, "id", "parent", "kind", "name", "summary", "n_lines", "sibling_order"), 5)[1]
 
@@ -220,7 +222,19 @@ def f1_line_counts(spark, sf_dir):
 
 # --- symbols
 
-S = "with s as (select distinct node_id, trim(symbol, ' ') as symbol, lower(trim(kind, ' ')) as kind from symbols where node_id is not null), y as (select * from s where symbol <> '' and kind in ('call', 'var_ref')),\nc as (select distinct * from code where id is not null)\n"
+SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+S = f"""with s as (select distinct node_id, nfc_normalize(regexp_replace(regexp_replace(symbol, '^{SPACE}+', ''), '{SPACE}+$', '')) as symbol, lower(regexp_replace(regexp_replace(kind, '^{SPACE}+', ''), '{SPACE}+$', '')) as kind from symbols where node_id is not null),
+y as (select * from s where symbol <> '' and kind in ('call', 'var_ref')),
+c as (select distinct * from code where id is not null)
+"""
+LANG = r""", k as (select distinct lower(extension) as ext, language as named from languages),
+x as (select c.*, coalesce(nullif(lower(trim(c.language, ' ')), ''), k.named) as lang from c left join k on k.ext = lower(regexp_extract(c.file, '(\.[^./]+)$', 1)))
+"""
+SCOPES = """, fn as (select distinct id, file, line_start, line_end from c where kind in ('function', 'method') and file is not null and line_start <= line_end),
+lf as (select distinct id, kind, file, line_start, line_end from c where source is not null and file is not null),
+ar as (select lf.id, arg_min(fn.id, struct_pack(a := fn.line_end - fn.line_start, b := -fn.line_start, c := fn.id)) as f from lf join fn on lf.file = fn.file and fn.line_start <= lf.line_start and lf.line_end <= fn.line_end and fn.id <> lf.id where lf.kind not in ('function', 'method') group by lf.id),
+sc as (select distinct lf.id, coalesce(ar.f, lf.id) as scope from lf left join ar using (id))
+"""
 
 
 def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,14 +246,22 @@ def j1_symbol_files(spark, sf_dir):
     return uses(spark, sf_dir).join(code_rows(spark, sf_dir, "id", "file").withColumnRenamed("id", "node_id"), "node_id").groupBy("symbol").agg(F.countDistinct("file").alias("n_files"), F.count("*").alias("n_uses"))
 
 
-@query(S + "select distinct node_id, symbol, kind from y where symbol in (select name from c where kind in ('function', 'class', 'type', 'method') and name is not null)")
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rows of the code table with ``lang``."""
+    return trees.language_of(table(spark, sf_dir, "code").where("id is not null").distinct(), table(spark, sf_dir, "languages"))
+
+
+@query(S + LANG + "select distinct node_id, symbol, kind from y where symbol in (select name from x where kind in ('function', 'class', 'type', 'variable', 'import') and lang <> 'markdown' and name is not null)")
 def u3_known_names(spark, sf_dir):
-    return symbols.used_and_declared(uses(spark, sf_dir), symbols.known_names(table(spark, sf_dir, "code"))).select("node_id", "symbol", "kind")
+    return symbols.used_and_declared(uses(spark, sf_dir), symbols.known_names(spoken(spark, sf_dir))).select("node_id", "symbol", "kind")
 
 
-@query(S + "select distinct r.node_id, r.symbol from y r where r.kind = 'var_ref' and not exists (select 1 from y k where k.kind = 'call' and k.node_id = r.node_id and k.symbol = r.symbol)")
+@query(S + SCOPES + """, sp as (select distinct id as scope, file, line_start, line_end from c where file is not null and line_start <= line_end),
+df as (select distinct sp.scope, n.name as symbol from sp join c n on n.file = sp.file and n.name is not null and sp.line_start <= n.line_start and n.line_start <= sp.line_end)
+select distinct r.node_id, r.symbol from y r where r.kind = 'var_ref' and not exists (select 1 from y k where k.kind = 'call' and k.node_id = r.node_id and k.symbol = r.symbol)
+and not exists (select 1 from sc join df on sc.scope = df.scope where sc.id = r.node_id and df.symbol = r.symbol)""")
 def y7_free_references(spark, sf_dir):
-    return symbols.free_references(uses(spark, sf_dir))
+    return symbols.free_references(uses(spark, sf_dir), symbols.scope_definitions(table(spark, sf_dir, "code").where("id is not null")))
 
 
 @query(S + """, f as (select distinct id, name, split_part(id, '/', 1) as repository from c where kind in ('function', 'method'))

@@ -54,7 +54,7 @@ def _verdict(path: Column, rules: list[tuple[str, list[str]]]) -> Column:
     verdict = F.lit(False)
     for folder, lines in rules:
         prefix = f"{folder}/" if folder else ""
-        inner = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1_000_000)).otherwise("")
+        inner = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise("")
         for rule, back in ignore_rules(lines):
             verdict = F.when((inner != "") & inner.rlike(rule), F.lit(not back)).otherwise(verdict)
     return verdict

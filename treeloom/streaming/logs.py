@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from treeloom.operators.sessions import EVENT
-from treeloom.operators.tables import compared, replaced
+from treeloom.operators.tables import compared, replaced, without
 
 HISTORY = "session string, message_no int, role string, content string, tool_call_id string"
 TOTALS = "session string, n_events long, input_tokens long, output_tokens long, last_type string"
@@ -43,14 +43,22 @@ def session_totals(events: DataFrame) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(_add, TOTALS, "n long, taken long, given long, last string", "update", GroupStateTimeout.NoTimeout)
 
 
-def changed_only(current: Callable[[], DataFrame], store: Callable[[DataFrame], None], index: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on a stream of ``path, hash`` and whatever ``index`` needs: rows whose hash is new or changed against the current table are indexed and replace those of their path."""
+def changed_only(current: Callable[[], DataFrame], store: Callable[[DataFrame], None], index: Callable[[DataFrame], DataFrame], order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on a stream of ``path, hash`` and whatever ``index`` needs: rows whose hash is new or changed against the current table are indexed and replace those of their path.
+
+    Of several rows for a path the one with the greatest ``order`` holds (without it, and among equals, the greatest row). Where that one's column ``deleted`` is true, the path's rows go.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy("path").agg(F.max(F.struct(*[c for c in batch.columns if c != "path"])).alias("_r")).select("path", "_r.*")
+        rest = [c for c in batch.columns if c not in ("path", order)]
+        newest = batch.groupBy("path").agg(F.max(F.struct(*([order] if order else []), *rest)).alias("_r")).select("path", "_r.*")
+        gone = newest.where("deleted") if "deleted" in batch.columns else None
+        if gone is not None:
+            newest = newest.where("not coalesce(deleted, false)")
         states = compared(current().select("path", "hash"), newest.select("path", "hash"), "path", "hash").where("state in ('new', 'changed')")
         fresh = index(newest.join(states.select("path"), "path", "left_semi"))
-        store(replaced(current(), fresh, "path"))
+        kept = current() if gone is None else without(current(), gone, "path")
+        store(replaced(kept, fresh, "path"))
 
     return run
 
