@@ -19,6 +19,7 @@ def test_climbing_and_selection(spark):
     assert {tuple(r) for r in trees.climbed(ids("e", "f", "w", "s", "r"), nodes).collect()} == {("e", "d", 1), ("e", "a", 2), ("e", "r", 3)}
     assert {r.id for r in trees.outermost(ids("a", "e", "b", "w", "x"), nodes).collect()} == {"a", "b", "w", "x"}
     assert {tuple(r) for r in trees.first_leaves(nodes).collect()} == {("r", "b"), ("a", "e"), ("d", "e")}
+    assert {tuple(r) for r in trees.first_leaves(nodes, sound_only=False).collect()} == {("r", "b"), ("a", "e"), ("d", "e"), ("x", "w"), ("y", "w"), ("z", "w")}
     assert sorted(map(tuple, trees.ordered_leaves(ids("r", "b"), nodes).collect())) == [("b", "b", 0), ("r", "b", 0), ("r", "c", 2), ("r", "e", 1)]
     assert trees.climbed(ids("e").limit(0), nodes).count() == 0
 

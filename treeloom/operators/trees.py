@@ -72,22 +72,24 @@ def climbed(starts: DataFrame, nodes: DataFrame, until: DataFrame | None = None)
     return found.select("id", F.col("at").alias("ancestor"), "up")
 
 
-def first_leaves(nodes: DataFrame) -> DataFrame:
-    """``id, leaf``: for every inner node that is not on or below a cycle, the leaf that comes first below it in document order.
+def first_leaves(nodes: DataFrame, sound_only: bool = True) -> DataFrame:
+    """``id, leaf``: for every inner node the leaf that comes first below it in document order; sound_only: none for nodes on or below a cycle, else none where the way of first children has no end.
 
     The first leaf is where the way of first children ends; pointers along it are doubled, so the rounds grow with the logarithm of the depth.
     """
     order = F.struct(F.col("sibling_order").isNull(), "sibling_order", "id")
-    cyclic = broken_links(nodes).where("issue in ('cycle', 'below_cycle')").select("id")
     inner = nodes.where("parent is not null").join(nodes.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
-    now = inner.groupBy(F.col("parent").alias("id")).agg(F.min_by("id", order).alias("leaf")).join(cyclic, "id", "left_anti")
+    now = inner.groupBy(F.col("parent").alias("id")).agg(F.min_by("id", order).alias("leaf"))
+    if sound_only:
+        now = now.join(broken_links(nodes).where("issue in ('cycle', 'below_cycle')").select("id"), "id", "left_anti")
     now = written(now, "first")
-    while True:
+    for _ in range(now.count().bit_length() + 1):  # a longer way goes round
         ahead = now.select(F.col("id").alias("leaf"), F.col("leaf").alias("further"))
         moved = written(now.join(ahead, "leaf", "left").select("id", F.coalesce("further", "leaf").alias("leaf"), F.col("further").isNotNull().alias("moved")), "first")
         now = moved.select("id", "leaf")
         if moved.where("moved").isEmpty():
             return now
+    return now.join(now.select(F.col("id").alias("leaf")), "leaf", "left_anti").select("id", "leaf")
 
 
 def outermost(selected: DataFrame, nodes: DataFrame) -> DataFrame:

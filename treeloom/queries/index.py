@@ -155,7 +155,7 @@ def o4_children_by_keywords(spark, sf_dir):
     nodes = rows.select("id", "parent", "kind", "depth", "sibling_order").distinct()
     inner = nodes.where("parent is not null").select(F.col("parent").alias("id")).distinct()
     own = nodes.select("id").join(inner, "id", "left_anti").select("id", F.col("id").alias("leaf"))
-    leaves = trees.first_leaves(nodes).unionByName(own)
+    leaves = trees.first_leaves(nodes, sound_only=False).unionByName(own)
     witness = leaves.join(rows.where("source is not null").select(F.col("id").alias("leaf"), scalars.clipped(F.col("source"), 400).alias("text")).distinct(), "leaf").select("id", "text")
     return trees.ranked_children(rows.drop("source", "depth"), 5, evidence.keyword_scores(witness, "id", "text", ["src", "cache"]))[0]
 
