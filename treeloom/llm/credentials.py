@@ -37,7 +37,7 @@ LOGIN_ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@\"'`<>{}$]*):(?P<val
 HEADER = r"(?i:\b(?P<scheme>bearer|basic))[ ]+(?P<value>[A-Za-z0-9+/=._~-]{8,})"
 OPTION = r"--?(?P<name>[A-Za-z][\w-]*)(?:=|[ ]+)(?P<value>[^\s\"'`,)]+)"
 NAMED = r"(?P<name>[A-Za-z_$@][\w$.-]*)[\"'`\]]*[ \t]*(?::=|=>|[:=]|(?<=\w)[ \t]+(?=[\"'`]))[ \t]*"
-LOGIN_NOTE = r"(?i:\b(?:login|credentials?|zugang)\b)[^\n\"'`/]{0,40}?[ ](?P<user>[\w.-]+)[ ]*/[ ]*(?P<value>[^\s\"'`]+)"
+LOGIN_NOTE = r"(?i:\b(?:login|credentials?|zugang)\b)[^\n\"'`/]*?[ ](?P<user>[\w.-]+)[ ]*/[ ]*(?P<value>[^\s\"'`]+)"
 
 # Words that name a credential, and words that say the value only describes, locates or digests one.
 SECRET_WORDS = ["pass", "passwd", "password", "passphrase", "passcode", "pwd", "pw", "secret", "token", "apikey", "credential", "credentials", "kennwort", "passwort"]
@@ -89,7 +89,7 @@ def stands_for_itself(value: str, least: int = 6) -> bool:
 
 
 def _key_follows(text: str, end: int) -> bool:
-    return bool(re.match(r"(?:\\n|[\s\"'`+*.,\\()])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*\n\s*)*(?:\\n|[\s\"'`+*.,\\()])*[A-Za-z0-9+/=]{16,}", text[end:end + 400]))
+    return bool(re.match(r"(?:\\n|[\s\"'`+*.,\\()])*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n]*\n\s*)*(?:\\n|[\s\"'`+*.,\\()])*[A-Za-z0-9+/=]{16,}", text[end:]))
 
 
 def _basic(value: str) -> bool:

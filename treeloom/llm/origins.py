@@ -17,7 +17,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.functions.text import first_segment
@@ -275,62 +275,62 @@ def _features():
     return run
 
 
-def _similar(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch["shingles_a"], batch["shingles_b"]):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= least * (len(x) + len(y) - both))
-            yield batch.loc[kept, ["a", "b"]]
-
-    return run
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        kept = []
+        for x, y, least in zip(batch["shingles_a"], batch["shingles_b"], batch["least"]):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            kept.append(both >= least * (len(x) + len(y) - both))
+        yield batch.loc[kept, ["a", "b"]]
 
 
-def near_duplicates(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """``a, b`` with a < b: sets (``id, shingles, bands``) whose Jaccard similarity is ``least`` or more, each pair once.
+def near_duplicates(sets: DataFrame) -> DataFrame:
+    """``a, b`` with a < b: sets (``id, shingles, bands``) whose Jaccard similarity is that of their column ``least``, 0.8 without it, or more, each pair once.
 
-    Pairs come from equal bands and are verified on the whole sets. A band key of very many sets is cut into parts on one side.
+    Pairs come from equal bands and are verified on the whole sets. A band key of very many sets is cut into parts on one side. Sets of different ``least`` must not share bands.
     """
-    keys = sets.select("id", F.size("shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("band"))
+    if "least" not in sets.columns:
+        sets = sets.withColumn("least", F.lit(SIMILAR))
+    keys = sets.select("id", "least", F.size("shingles").alias("n"), F.explode(F.array_distinct("bands")).alias("band"))
     sizes = keys.groupBy("band").agg(F.count("*").alias("held")).where("held > 1").select("band", F.ceil(F.col("held") / PART_FILES).cast("bigint").alias("parts"))
     inside = written(keys.join(sizes, "band"), "bands")
-    a = inside.select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    a = inside.select("band", "least", F.col("id").alias("a"), F.col("n").alias("n_a"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
     b = inside.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))  # sets of other sizes can't be as similar
-    pairs = written(a.join(b, ["band", "part"]).where("a < b").where(near).select("a", "b").distinct(), "pairs")  # few pairs are sent to the sets, many are joined with them
+    near = (F.col("n_a") >= F.col("least") * F.col("n_b")) & (F.col("n_b") >= F.col("least") * F.col("n_a"))  # sets of other sizes can't be as similar
+    pairs = written(a.join(b, ["band", "part"]).where("a < b").where(near).select("a", "b", "least").distinct(), "pairs")  # few pairs are sent to the sets, many are joined with them
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("shingles_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
-    return pairs.select("a", "b", "shingles_a", "shingles_b").mapInPandas(_similar(least), "a bigint, b bigint")
+    return pairs.select("a", "b", "least", "shingles_a", "shingles_b").mapInPandas(_similar, "a bigint, b bigint")
+
+
+def _tagged(space: int, *key: str) -> Column:
+    """Ids of the sets of a space: a hash whose lowest two bits name it."""
+    return F.xxhash64(*key).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(space)).alias("id")
 
 
-def several_files(files: DataFrame) -> DataFrame:
-    """``repository, form_id`` of the sets of forms whose family, linked within the repository by a similarity of 0.8 or more, has three files or more. ``files`` has ``repository, form_id, form_set, form_bands``, a row a file.
+def _in_space(links: DataFrame, space: int) -> DataFrame:
+    """The links of a space in both directions."""
+    own = links.where(F.col("a").bitwiseAND(F.lit(3)) == space)
+    return own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def several_files(forms: DataFrame, ends: DataFrame) -> DataFrame:
+    """``repository, form_id`` of the sets of forms (``id, repository, form_id, n_files``) whose family, linked within the repository by ``ends``, has three files or more.
 
     In a family of three files or more, each set has three files around it or is linked to one that has.
     """
-    own = ["repository", "form_id"]
-    sets = files.groupBy(*own).agg(F.first("form_set").alias("shingles"), F.first("form_bands").alias("form_bands"), F.count("*").alias("n_files"))
-    sets = written(sets.select(*own, F.xxhash64(*own).alias("id"), "shingles", F.transform("form_bands", lambda x: F.xxhash64("repository", x)).alias("bands"), "n_files"), "repository_forms")
-    links = written(near_duplicates(sets, FAMILY_SIMILAR), "repository_links")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = sets.select("id", "n_files")
+    counts = forms.select("id", "n_files")
     near = ends.join(counts.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n_files").alias("n"))
     around = counts.join(near, "id", "left").select("id", (F.col("n_files") + F.coalesce("n", F.lit(0))).alias("n")).where(F.col("n") >= FAMILY_FILES).select("id")
     family = around.unionByName(ends.join(around.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))).distinct()
-    return sets.join(family, "id", "left_semi").select(*own)
+    return forms.join(family, "id", "left_semi").select("repository", "form_id")
 
 
-def piece_families(features: DataFrame) -> DataFrame:
-    """``file, literal, family, weight`` of the pieces that stand in a family of their file: linked by a similarity of 0.8 or more to pieces of it that make eight with them. ``family`` is the least linked set's id."""
-    pieces = features.select("file", F.explode("pieces").alias("p")).select("file", "p.*")
-    pieces = written(pieces.withColumn("key", F.xxhash64("file", "literal", "id")), "pieces")
-    sets = pieces.select(F.col("key").alias("id"), "shingles", F.transform("bands", lambda x: F.xxhash64("file", "literal", x)).alias("bands"))
-    links = written(near_duplicates(sets), "piece_links")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = pieces.select("key", "id", "n")
-    near = ends.join(counts.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"), F.min("id").alias("least"))
-    around = pieces.select("key", "file", "literal", "id", "n", "weight").join(near, "key", "left")
-    return around.where(F.col("n") + F.coalesce("others", F.lit(0)) >= FAMILY_PIECES).select("file", "literal", F.least("id", F.coalesce("least", "id")).alias("family"), "weight")
+def piece_families(pieces: DataFrame, ends: DataFrame) -> DataFrame:
+    """``file, literal, family, weight`` of the pieces (``id, file, literal, piece_id, n, weight``) that stand in a family of their file: linked by ``ends`` to pieces of it that make eight with them. ``family`` is the least linked set's id."""
+    counts = pieces.select("id", "piece_id", "n")
+    near = ends.join(counts.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"), F.min("piece_id").alias("least"))
+    around = pieces.select("id", "file", "literal", "piece_id", "n", "weight").join(near, "id", "left")
+    return around.where(F.col("n") + F.coalesce("others", F.lit(0)) >= FAMILY_PIECES).select("file", "literal", F.least("piece_id", F.coalesce("least", "piece_id")).alias("family"), "weight")
 
 
 def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = True) -> DataFrame:
@@ -342,42 +342,43 @@ def file_origins(code: DataFrame, languages: DataFrame, with_classes: bool = Tru
     no file similar to it bears out another repository in that way. Files of less than 32 shingles are similar if they are valid in their language and all their tokens, twenty or more, are equal.
 
     class_id: equal for files linked by a similarity of 0.8 or more (with_classes; copies of a set of shingles count as one), of generated, minified and data files the family that holds most of them;
-    n_links: distinct similar sets besides its own; family_share: the share of its tokens (data: of its characters) in families, zero where the sizes of its pieces already tell that it stays below what decides. Comments count for nothing, so notices don't decide.
-    Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
+    n_links: distinct similar sets besides its own; family_share: the share of its tokens (data: of its characters) in families, zero where the sizes of its pieces already tell that it stays below what
+    decides. Comments count for nothing, so notices don't decide. Exact duplicate rows count once; files without any text in ``code`` are left out; an empty file is ``own``.
     """
     features = written(whole_files(code, languages, LANGUAGES).mapInPandas(_features(), FEATURES), "features")
-    # families of pieces within a file
-    totals = piece_families(features).groupBy("file", "literal", "family").agg(F.sum("weight").alias("weight")).groupBy("file").agg(
+    # three spaces of sets, linked at once: whole files (equal ones are one), forms of a repository's files, pieces of a file
+    named_own = (F.col("own_names") >= OWN_NAMES) & (F.col("own_names") >= OWN_SHARE * F.col("n_names"))
+    files = features.select("file", "repository", F.when(named_own, F.col("repository")).alias("claim"), F.explode("sets").alias("s")).select("file", "repository", "claim", F.col("s.masked").alias("masked"), F.col("s.id").alias("set_id"), F.col("s.shingles").alias("shingles"), F.col("s.bands").alias("bands"))
+    files = files.withColumn("id", _tagged(0, "masked", "set_id"))
+    whole = files.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.min("claim").alias("c1"), F.max("claim").alias("c2"))
+    forms = features.where(F.size("form_set") >= MASKED_FROM).groupBy("repository", "form_id").agg(F.first("form_set").alias("shingles"), F.first("form_bands").alias("bands"), F.count("*").alias("n_files"))
+    pieces = features.select("file", F.explode("pieces").alias("p")).select("file", F.col("p.literal").alias("literal"), F.col("p.id").alias("piece_id"), F.col("p.n").alias("n"), F.col("p.weight").alias("weight"), F.col("p.shingles").alias("shingles"), F.col("p.bands").alias("bands"))
+    sets = whole.select("id", "shingles", "bands", F.lit(SIMILAR).alias("least"), "r1", "r2", "c1", "c2")
+    sets = sets.unionByName(forms.select(_tagged(1, "repository", "form_id"), "shingles", F.transform("bands", lambda x: F.xxhash64("repository", x)).alias("bands"), F.lit(FAMILY_SIMILAR).alias("least"), "repository", "form_id", "n_files"), allowMissingColumns=True)
+    sets = sets.unionByName(pieces.select(_tagged(2, "file", "literal", "piece_id"), "shingles", F.transform("bands", lambda x: F.xxhash64("file", "literal", x)).alias("bands"), F.lit(SIMILAR).alias("least"), "file", "literal", "piece_id", "n", "weight"), allowMissingColumns=True)
+    sets = written(sets, "sets")
+    links = written(near_duplicates(sets.select("id", "shingles", "bands", "least")), "links")
+    space = lambda k: sets.where(F.col("id").bitwiseAND(F.lit(3)) == k)
+
+    totals = piece_families(space(2), _in_space(links, 2)).groupBy("file", "literal", "family").agg(F.sum("weight").alias("weight")).groupBy("file").agg(
         F.sum(F.when(F.col("literal"), F.col("weight"))).alias("literals"), F.sum(F.when(~F.col("literal"), F.col("weight"))).alias("tokens"),
         F.max_by("family", F.when(F.col("literal"), F.struct("weight", "family"))).alias("data_family"), F.max_by("family", F.when(~F.col("literal"), F.struct("weight", "family"))).alias("code_family"))
-    # whole files; equal sets are one
-    named_own = (F.col("own_names") >= OWN_NAMES) & (F.col("own_names") >= OWN_SHARE * F.col("n_names"))
-    files = features.select("file", "repository", F.when(named_own, F.col("repository")).alias("claim"), F.explode("sets").alias("s")).select("file", "repository", "claim", "s.*")
-    files = files.withColumn("id", F.xxhash64("masked", "id"))
-    sets = written(files.groupBy("id").agg(
-        F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("masked").alias("masked"),
-        F.min("repository").alias("r1"), F.max("repository").alias("r2"), F.min("claim").alias("c1"), F.max("claim").alias("c2")), "sets")
-    links = written(near_duplicates(sets), "links")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reach = ends.join(sets.select(F.col("id").alias("b"), "r1", "r2", "c1", "c2"), "b").groupBy(F.col("a").alias("id")).agg(
+    several = several_files(space(1), _in_space(links, 1)).withColumn("of_several", F.lit(True))
+    own = space(0).select("id", "r1", "r2", "c1", "c2")
+    reach = _in_space(links, 0).join(own.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(
         F.min("r1").alias("n1"), F.max("r2").alias("n2"), F.min("c1").alias("m1"), F.max("c2").alias("m2"), F.count("*").alias("n_links"))
-    reach = sets.select("id", "r1", "r2", "c1", "c2").join(reach, "id", "left").select(
+    reach = own.join(reach, "id", "left").select(
         "id", F.least("c1", "m1").alias("first_claim"), F.greatest("c2", "m2").alias("last_claim"), F.least("r1", F.coalesce("n1", "r1")).alias("lo"), F.greatest("r2", F.coalesce("n2", "r2")).alias("hi"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = reach.select("id", F.col("id").alias("class_id"))
+    reach = reach.withColumn("class_id", F.col("id"))
     if with_classes:
-        found = components(links)
-        named = reach.join(found, reach["id"] == found["node"], "left").select("id", F.coalesce("component", "id").alias("class_id"))
+        found = components(links.where(F.col("a").bitwiseAND(F.lit(3)) == 0)).select(F.col("node").alias("id"), "component")
+        reach = reach.join(found, "id", "left").withColumn("class_id", F.coalesce("component", "class_id")).drop("component")
     original = F.coalesce(F.col("claim").isNotNull() & (F.col("first_claim") == F.col("last_claim")), F.lit(False))
-    spread = files.select("file", "id", "claim").join(reach, "id").join(named, "id").groupBy("file").agg(
-        F.bool_or((F.col("lo") < F.col("hi")) & ~original).alias("elsewhere"), F.max("n_links").alias("n_links"), F.min("class_id").alias("class_id"))
-    # families of files within a repository
-    formed = features.where(F.size("form_set") >= MASKED_FROM).select("repository", "form_id", "form_set", "form_bands")
-    several = several_files(formed).withColumn("of_several", F.lit(True))
+    spread = files.select("file", "id", "claim").join(reach, "id").select("file", ((F.col("lo") < F.col("hi")) & ~original).alias("elsewhere"), "n_links", "class_id")  # a file has one set
 
     share = F.coalesce(F.col("tokens") / F.col("n_tokens"), F.lit(0.0))
     literals = F.coalesce(F.col("literals") / F.col("n_chars"), F.lit(0.0))
-    data, repeats = literals >= LITERAL_SHARE, (share >= FAMILY_SHARE) | F.coalesce("of_several", F.lit(False))
-    origin = F.when(data, "data").when(F.col("packed"), "minified").when(share >= FAMILY_SHARE, "generated").when(F.col("elsewhere"), "vendored").when(repeats, "generated").otherwise("own")
+    origin = F.when(literals >= LITERAL_SHARE, "data").when(F.col("packed"), "minified").when(share >= FAMILY_SHARE, "generated").when(F.col("elsewhere"), "vendored").when(F.col("of_several"), "generated").otherwise("own")
     judged = features.select("file", "language", "repository", "n_tokens", "n_chars", "packed", "form_id").join(totals, "file", "left").join(spread, "file", "left").join(several, ["repository", "form_id"], "left")
     judged = judged.withColumn("origin", origin)
     family = F.when(F.col("origin") == "data", F.col("data_family")).when(F.col("origin").isin("generated", "minified"), F.coalesce("code_family", F.xxhash64("repository", "form_id")))

@@ -210,6 +210,14 @@ class SpanIndex:
         self.tables[path] = name
         return path
 
+    def stored_batches(self, texts: DataFrame, batches: int) -> list[str]:
+        """Stores ``doc_id, text, batch`` at once; the places of batches 0 to ``batches`` - 1."""
+        name, path = f"treeloom_{uuid.uuid4().hex[:12]}", f"{self.folder}/texts-{uuid.uuid4().hex[:12]}"
+        empty = self.spark.range(batches).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.col("id").alias("batch"))  # so that no batch's folder is missing
+        texts.select("doc_id", "text", F.col("batch").cast("bigint").alias("batch")).unionByName(empty).write.option("path", path).option("compression", "zstd").partitionBy("batch").bucketBy(self.buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
+        self.spark.sql(f"drop table {name}")
+        return [f"{path}/batch={k}" for k in range(batches)]
+
     def _drop(self, path: str) -> None:
         self.spark.sql(f"drop table if exists {self.tables.pop(path)}")
         removed(self.spark, path)
@@ -226,8 +234,11 @@ class SpanIndex:
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """``batch`` has ``doc_id, text``, one row per record. Returns the pairs (with one common span per fingerprint) and the spans of each record found elsewhere; both stay good when the index is closed or discarded."""
-        own = self._stored("text", batch.where(F.length("text") >= self.least).select("doc_id", "text"))
-        path = self._stored("run", self._table("text", own).mapInPandas(_fingerprint(self.least), FINGERPRINTS))
+        return self.add_stored(self._stored("text", batch.where(F.length("text") >= self.least).select("doc_id", "text")))
+
+    def add_stored(self, own: str) -> tuple[DataFrame, DataFrame]:
+        """As :meth:`add`, for a batch whose texts lie below the index's folder, in its buckets."""
+        path = self._stored("run", self._table("text", own).where("doc_id is not null").mapInPandas(_fingerprint(self.least), FINGERPRINTS))
         new, before = self._table("run", path), [self._table("run", p) for kind, _, p in self.runs if kind == "run"]
         held = new.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         shared = reduce(DataFrame.unionByName, [held.where("lo < hi").select("h"), *[held.join(run, "h", "left_semi").select("h") for run in before]]).distinct()
@@ -282,11 +293,11 @@ def shared_spans(documents: DataFrame, least: int = MIN_LENGTH, batches: int = 3
     documents: ``doc_id, text``; exact duplicates count once, of several texts for one id the greatest holds; rows without id or text, and texts shorter than ``least``, share nothing.
     The records enter the index in ``batches`` by a hash of their id, as deliveries would; three make it compact once.
     """
-    texts = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.max("text").alias("text")).where(F.length("text") >= least)
-    texts = written(texts.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "texts")
     index, found = SpanIndex(documents.sparkSession, least, **how), []
-    for k in range(batches):
-        found.append(index.add(texts.where(F.col("batch") == k)))
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", "text").repartition(index.buckets, "doc_id")  # one shuffle of the texts, into the buckets they stay in
+    texts = rows.groupBy("doc_id").agg(F.max("text").alias("text")).where(F.length("text") >= least).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    for path in index.stored_batches(texts, batches):
+        found.append(index.add_stored(path))
     index.discard()
     return reduce(DataFrame.unionByName, [p for p, _ in found]).distinct(), reduce(DataFrame.unionByName, [s for _, s in found])
 
