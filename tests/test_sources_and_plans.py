@@ -36,3 +36,16 @@ def test_plans_read_what_they_need(spark):
     df = child_counts(nodes_of(code))
     assert all("source" not in read and "summary" not in read for read in columns_read(df))
     assert shuffles(df) <= 4 and "CartesianProduct" not in plan_text(df)
+
+
+def test_written_tables_are_released(spark):
+    from pathlib import Path
+
+    from treeloom.lineage import release, shared_folder, written
+
+    df = written(spark.range(3).toDF("a"), "kept")
+    folders = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file://"), "treeloom").iterdir() if p.name.startswith("kept-")}
+    assert df.count() == 3 and len(folders()) == 1
+    release(spark)
+    assert folders() == set()
+    release(spark)

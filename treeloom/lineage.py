@@ -30,6 +30,15 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables :func:`written` has left in this session. For the caller, when the results built on them have been stored: they are read lazily."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        removed(spark, path)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again: later plans start there, also after the loss of an executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
@@ -37,4 +46,5 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

@@ -87,4 +87,16 @@ d(descendant, ancestor, distance) as (
   select n.id, n.parent, 1 from n join sound using (id) where n.parent in (select id from n)
   union all select d.descendant, n.parent, d.distance + 1 from d join n on d.ancestor = n.id where n.parent in (select id from n))
 select ancestor, descendant, distance from d""",
+    "p7_nodes": _REACH + """,
+m as (
+  select id, parent, lpad(cast(coalesce(sibling_order, 999999) as varchar), 6, '0') || ' ' || id as place from code where id is not null
+  qualify row_number() over (partition by id order by sibling_order nulls last, parent nulls last, depth nulls last, kind nulls last) = 1),
+down(id, root, steps, path, order_key) as (
+  select id, id, 0, id, place from m where parent is null or parent not in (select id from m)
+  union all select m.id, d.root, d.steps + 1, d.path || ' > ' || m.id, d.order_key || chr(1) || m.place from m join down d on m.parent = d.id),
+below_ as (select r.anc as id, count(*) as n from reach r join down on r.id = down.id group by r.anc)
+select m.id, d.root, d.steps, d.path, d.order_key, case when d.id is not null then coalesce(b.n, 0) end as n_descendants,
+  case when m.id in (select id from ring) then 'cycle' when m.id in (select id from below) then 'below_cycle'
+    when s.top_id is null or s.top_kind is distinct from 'codebase' then 'no_root' when s.depth is distinct from s.steps then 'wrong_depth' end as issue
+from m left join down d on m.id = d.id left join below_ b on m.id = b.id left join state s on m.id = s.id""",
 }
