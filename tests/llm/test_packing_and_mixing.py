@@ -128,3 +128,30 @@ def test_mixture(spark):
     key = ["mix_name", "source", "doc_id", "times"]
     assert sorted(map(tuple, rows[key].values.tolist())) == sorted(map(tuple, again[key].values.tolist()))
     assert mixing.mixture(docs.limit(0), targets).count() == 0 and mixing.mixture(docs, targets.limit(0)).count() == 0
+
+
+def test_flow_against_all_flows():
+    """As much as possible first, and then at the least cost, against every way to send whole tokens."""
+    from itertools import product
+
+    rng = random.Random(11)
+    for _ in range(12):
+        patterns = {p: rng.randrange(1, 4) for p in rng.sample(["a", "b", "a\u0001b"], rng.randrange(1, 4))}
+        targets = {"a": (rng.choice([0.25, 0.5, 0.75]), rng.randrange(1, 4))}
+        targets["b"] = (1 - targets["a"][0], rng.randrange(1, 4))
+        budget = 4 * rng.randrange(1, 4)
+        ways = [(p, s) for p in patterns for s in p.split("\u0001")]
+        quota = {s: round(share * budget) for s, (share, _) in targets.items()}
+
+        def cost(sent):
+            per = {p: sum(n for (q, _), n in sent.items() if q == p) for p in patterns}
+            most = {p: max(targets[s][1] for s in p.split("\u0001")) for p in patterns}
+            if any(per[p] > patterns[p] * most[p] for p in patterns) or any(sum(n for (_, t), n in sent.items() if t == s) > quota[s] for s in quota) or any(n > patterns[p] * targets[s][1] for (p, s), n in sent.items()):
+                return None
+            return -sum(sent.values()), sum(min(max(per[p] - use * patterns[p], 0), patterns[p]) * use * use for p in patterns for use in range(most[p]))
+
+        best = min(c for numbers in product(*[range(quota[s] + 1) for _, s in ways]) if (c := cost(dict(zip(ways, numbers)))) is not None)
+        got = {}
+        for p, s, lo, hi, _ in mixing.route(patterns, targets, budget):
+            got[p, s] = got.get((p, s), 0) + hi - lo
+        assert cost(got) == best
