@@ -46,3 +46,10 @@ def test_small_rules(spark):
     assert [r.x for r in out] == ["a\nb", "1\n2\n3\n4\n5\n... 11 characters in all"]
     retry = spark.createDataFrame([(429, 0), (503, 2), (404, 0), (500, 5)], "s int, a int").select(sessions.retry_delay(F.col("s"), F.col("a"), 5).alias("x")).collect()
     assert [r.x for r in retry] == [1000, 4000, None, None]
+
+
+def test_binary_paths(spark):
+    from treeloom.operators.diffs import binary_paths
+
+    raw = spark.createDataFrame([("3\t1\ta.jl\0-\t-\tx y.png\0-\t-\t\0old.bin\0new.bin\0" + "2\t0\t\0b\0c\0",), ("",), (None,)], "t string")
+    assert {r.path for r in binary_paths(raw, "t").collect()} == {"x y.png", "new.bin"}

@@ -87,6 +87,13 @@ def name_status(raw: DataFrame, column: str) -> DataFrame:
     return rows.select(word.alias("status"), "path", "old_path")
 
 
+def binary_paths(raw: DataFrame, column: str) -> DataFrame:
+    """``path`` of the binary files in line counts in zero-terminated form: both counts are dashes; a rename has no path there but the old and the new one in the two items after, of which the new one counts."""
+    tokens = F.split(column, "\u0000")
+    found = F.transform(tokens, lambda t, k: F.when(t == "-\t-\t", F.get(tokens, k + 2)).when(t.startswith("-\t-\t"), F.substring(t, F.lit(5), F.length(t))))
+    return raw.select(F.explode(found).alias("path")).where("path is not null and path <> ''").distinct()
+
+
 def porcelain(raw: DataFrame, column: str) -> DataFrame:
     """``path, status, has_staged, has_unstaged`` of status lines ``XY path``: untracked for ``??``, unmerged for the pairs that mean it, else the letter of the index, or of the working tree."""
     xy, path = F.left("line", F.lit(2)), F.substring("line", F.lit(4), F.length("line"))

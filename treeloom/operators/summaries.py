@@ -18,6 +18,13 @@ def comment_summary(source: Column) -> Column:
     return F.when(text != "", text)
 
 
+def declaration_line(source: Column) -> Column:
+    """The first line of a declaration, trimmed: neither blank nor a comment, a decorator, or part of a string that opens the source; null if there is none."""
+    rest = F.regexp_replace(source, r'(?s)\A\s*"""(?:[^"]|"{1,2}(?!"))*"""', "")
+    lines = F.transform(F.split(rest, "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", "")))
+    return F.get(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^(#|//|/\*|\*|@)")), F.lit(0))
+
+
 def readme_paragraph(source: Column) -> Column:
     """All lines of the first paragraph that isn't a heading, joined by a blank; null if there is none."""
     parts = F.split(F.regexp_replace(source, "\r", ""), r"\n[ \t]*\n")

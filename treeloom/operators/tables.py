@@ -27,6 +27,18 @@ def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
+def overlaid(buffer: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of ``stored`` with those of ``buffer`` (the same columns) in place of, and beside, them: a value of the buffer counts where it is not null."""
+    rest = [c for c in stored.columns if c != key]
+    both = stored.select(key, *[F.col(c).alias(f"_{c}") for c in rest]).join(buffer.select(key, *rest), key, "full")
+    return both.select(key, *[F.coalesce(c, f"_{c}").alias(c) for c in rest])
+
+
+def overridden(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """A table of settings with the rows of ``changes`` in place of those with the same key."""
+    return replaced(base, changes.select(*base.columns), key)
+
+
 def merged_status(changes: DataFrame) -> DataFrame:
     """One row per path of several phases: unmerged before untracked before the rest, ``modified`` where those disagree; flags joined by or."""
     rank = F.when(F.col("status") == "unmerged", 0).when(F.col("status") == "untracked", 1).otherwise(2)

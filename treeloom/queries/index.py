@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import scalars
 from treeloom.functions.text import extension, first_segment
-from treeloom.operators import edits, evidence, hierarchy, indexing, sessions, symbols, tables, tasks, trees
-from treeloom.queries.reference import EVENTS, LANG, RANKED, SCOPES, C, code_rows, log_events, spoken, table
+from treeloom.operators import edits, evidence, hierarchy, indexing, sessions, summaries, symbols, tables, tasks, trees
+from treeloom.queries.reference import EVENTS, FILES, LANG, RANKED, SCOPES, C, code_rows, listed, log_events, spoken, table
 
 QUERIES, SQL = {}, {}
 
@@ -297,3 +297,56 @@ away as (select l.id, l.ring, coalesce(min(h.k), 0) as k from lead_ l left join
 select ring, k as position, id from away""")
 def k3_cycles(spark, sf_dir):
     return hierarchy.cycles(task_nodes(spark, sf_dir))
+
+
+# --- small rules over whole tables
+
+@query(FILES + """, p as (select max(snapshot_no) as m from f), a as (select path, commit_hash, hash from f, p where snapshot_no = m - 1), b as (select path, commit_hash, hash from f, p where snapshot_no = m)
+select coalesce(b.path, a.path) as path, coalesce(b.hash, a.hash) as hash, coalesce(b.commit_hash, a.commit_hash) as commit_hash from a full join b on a.path = b.path""")
+def s24_overlaid(spark, sf_dir):
+    """The last listing over the one before: its values count where it has any."""
+    rows = listed(spark, sf_dir)
+    last = rows.agg(F.max("snapshot_no")).first()[0] or 0
+    part = lambda no: rows.where(F.col("snapshot_no") == no).select("path", "hash", "commit_hash")
+    return tables.overlaid(part(last), part(last - 1), "path")
+
+
+@query("""select distinct path from change_status where path is not null and (git_has_staged or git_has_unstaged or status = 'untracked')""")
+def u1_touched_paths(spark, sf_dir):
+    d = table(spark, sf_dir, "change_status").where("path is not null")
+    return d.where("git_has_staged").select("path").unionByName(d.where("git_has_unstaged").select("path")).unionByName(d.where("status = 'untracked'").select("path")).distinct()
+
+
+@query(C + """, r as (select distinct id, depth, file, line_start from c) select id, row_number() over (partition by coalesce(file, id) order by depth nulls first, line_start nulls first, id) as place from r""")
+def o3_path_order(spark, sf_dir):
+    """Places of the nodes of each file by depth and line; files follow each other by depth and name, so no window spans more than one."""
+    rows = code_rows(spark, sf_dir, "id", "depth", "file", "line_start")
+    w = Window.partitionBy(F.coalesce("file", "id")).orderBy(F.col("depth").asc_nulls_first(), F.col("line_start").asc_nulls_first(), "id")
+    return rows.select("id", F.row_number().over(w).alias("place"))
+
+
+@query("""with d as (select doc_id, max(text) as text, max(workspace) as workspace from documents where doc_id is not null group by doc_id)
+select workspace, cast(sum(greatest(1, length(coalesce(text, '')) // 4)) as bigint) as tokens, sum(greatest(1, length(coalesce(text, '')) // 4)) > 120000 as is_due from d where workspace is not null group by workspace""")
+def l3_due_compactions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("workspace").alias("workspace"))
+    total = d.where("workspace is not null").groupBy("workspace").agg(F.sum(sessions.token_estimate(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return total.select("workspace", "tokens", (F.col("tokens") > 120_000).alias("is_due"))
+
+
+@query(C + r""", f as (select distinct id, source from c where kind in ('function', 'method') and source is not null),
+l as (select id, list_filter(list_transform(string_split(regexp_replace(source, '^\s*\"\"\"([^\"]|\"[^\"]|\"\"[^\"])*\"\"\"', ''), chr(10)), lambda x: trim(regexp_replace(x, '\r$', ''), ' ')), lambda x: x <> '' and not regexp_matches(x, '^(#|//|/\*|\*|@)')) as ls from f)
+select id, ls[1] as line from l""".replace('\\"', '"'))
+def d5_declaration_lines(spark, sf_dir):
+    rows = code_rows(spark, sf_dir, "id", "kind", "source").where("kind in ('function', 'method') and source is not null")
+    return rows.select("id", "source").distinct().select("id", summaries.declaration_line(F.col("source")).alias("line"))
+
+
+@query(C + """, k as (select lower(extension) as ext, language from languages where extension not in ('.h', '.jl') union all select '.h', 'cpp' union all select '.jl', 'julia1'), x as (select distinct file, lower(regexp_extract(file, '(\\.[^./]+)$', 1)) as ext from c where file is not null)
+select k.language, count(*) as n_files from x left join k on x.ext = k.ext group by k.language""")
+def y14_overridden_languages(spark, sf_dir):
+    """Files by the languages of a table of extensions with two rows overridden."""
+    base = table(spark, sf_dir, "languages").select("extension", "language").distinct()
+    changes = spark.createDataFrame([(".h", "cpp"), (".jl", "julia1")], "extension string, language string")
+    known = tables.overridden(base, changes, "extension").select(F.lower("extension").alias("ext"), "language")
+    files = code_rows(spark, sf_dir, "id", "file").where("file is not null").select("file", extension(F.col("file")).alias("ext")).distinct()
+    return files.join(known, "ext", "left").groupBy("language").agg(F.count("*").alias("n_files"))
