@@ -80,11 +80,18 @@ def fingerprints(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _fingerprint(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        n = 0
         for batch in batches:
             for id_, text in zip(batch["doc_id"].tolist(), batch["text"]):
                 h, at = fingerprints(text, least)
-                if len(h):
-                    yield pd.DataFrame({"h": h.view(np.int64), "doc_id": np.full(len(at), id_, np.int64), "pos": at.astype(np.int32)})
+                held.append((h.view(np.int64), np.full(len(at), id_, np.int64), at.astype(np.int32)))
+                n += len(at)
+                if n >= 20 * BATCH_ROWS:
+                    yield pd.DataFrame(dict(zip(("h", "doc_id", "pos"), map(np.concatenate, zip(*held)))))
+                    held, n = [], 0
+        if held:
+            yield pd.DataFrame(dict(zip(("h", "doc_id", "pos"), map(np.concatenate, zip(*held)))))
 
     return run
 
